@@ -45,15 +45,12 @@ def find_spans(df: DataFrame, text: str, patterns: Mapping[str, str], *, type_co
     hit = None
     for p in patterns.values():
         hit = text_col.rlike(p) if hit is None else hit | text_col.rlike(p)
-    labelled = [
-        F.transform(
-            span_array(text_col, p),
-            lambda s, kind=kind: F.struct(
-                F.lit(kind).alias(type_column), s["match"].alias("match"), s["start"].alias("start"), s["end"].alias("end")
-            ),
-        )
-        for kind, p in patterns.items()
-    ]
+
+    def labelled_spans(kind: str, pattern: str) -> Column:
+        return F.transform(span_array(text_col, pattern), lambda s: F.struct(
+            F.lit(kind).alias(type_column), s["match"].alias("match"), s["start"].alias("start"), s["end"].alias("end")))
+
+    labelled = [labelled_spans(kind, p) for kind, p in patterns.items()]
     return df.filter(hit).withColumn("_span", F.explode(F.concat(*labelled))).select("*", "_span.*").drop("_span")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import fixed_values as V
 
 WORD = r"[\p{L}\p{N}]+"
-_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def _accent_table() -> tuple[str, str]:
@@ -45,7 +45,7 @@ def blank_to_null(text: str | Column) -> Column:
 
 def normalise(text: str | Column) -> Column:
     """Lower case, blanks collapsed, ends trimmed: the key for names and content hashes."""
-    return F.trim(F.regexp_replace(F.lower(as_column(text)), _SPACE_RUN, " "))
+    return F.trim(F.regexp_replace(F.lower(as_column(text)), SPACE_RUN, " "))
 
 
 def fold(text: str | Column) -> Column:
@@ -354,14 +354,14 @@ def image_stub_text(name: str | Column) -> Column:
 
 def sanitize_query(query: str | Column) -> Column:
     """Unified search: every operator symbol becomes a blank."""
-    return strip(F.regexp_replace(F.regexp_replace(as_column(query), V.QUERY_SYMBOLS, " "), _SPACE_RUN, " "))
+    return strip(F.regexp_replace(F.regexp_replace(as_column(query), V.QUERY_SYMBOLS, " "), SPACE_RUN, " "))
 
 
 def sanitize_question(query: str | Column) -> Column:
     """Question search: ``word*`` survives, other symbols go, stop words go unless nothing is left."""
     symbols = V.QUERY_SYMBOLS.replace("*", "")
     text = F.regexp_replace(as_column(query), r"(?U)(?<!\w)\*", " ")
-    text = strip(F.regexp_replace(F.regexp_replace(text, symbols, " "), _SPACE_RUN, " "))
+    text = strip(F.regexp_replace(F.regexp_replace(text, symbols, " "), SPACE_RUN, " "))
     kept = F.filter(F.split(text, " "), lambda w: ~F.lower(w).isin(V.QUERY_STOP_WORDS))
     joined = F.array_join(kept, " ")
     return F.when(joined == "", text).otherwise(joined)

@@ -38,23 +38,26 @@ def with_adjacent(hits: DataFrame, pages: DataFrame, *, chars: int = 300, text:
 
 
 def with_siblings(hits: DataFrame, pages: DataFrame, *, max_pages: int = 6, query: Sequence[str] = ()) -> DataFrame:
-    """Hits plus all other pages of small hit documents, after the hits in (document, page) order.
+    """Hits (``band`` 0) plus all other pages of small hit documents (``band`` 1), bare text and a head snippet.
 
-    ``hits`` carry ``ordinal``; siblings get ordinals behind every hit, bare text and a head snippet.
+    Result order is (band, ordinal, doc_id, page_number); ``number_results`` turns it into ranks.
     """
     query = list(query)
     hit_docs = hits.select(*query, "doc_id").distinct()
-    small = pages.join(hit_docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.count("*").alias("_pages")).filter(F.col("_pages") <= max_pages)
-    candidates = pages.join(small.select("doc_id"), "doc_id").join(hit_docs, "doc_id")
+    sizes = pages.join(hit_docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    small = sizes.filter(F.col("_n") <= max_pages).select("doc_id")
+    candidates = pages.join(small, "doc_id").join(hit_docs, "doc_id")
     fresh = candidates.join(hits.select(*query, *PAGE), [*query, *PAGE], "left_anti")
-    order = W.partitionBy(*query).orderBy("doc_id", "page_number") if query else W.partitionBy(F.lit(1)).orderBy(*PAGE)
-    last = hits.groupBy(*query).agg(F.max("ordinal").alias("_last")) if query else hits.agg(F.max("ordinal").alias("_last"))
-    numbered = fresh.select(*query, *PAGE, F.substring("text_content", 1, 2000).alias("text"),
-                            F.substring("text_content", 1, 200).alias("snippet"), F.row_number().over(order).alias("_n"))
-    placed = numbered.join(last, query) if query else numbered.withColumn("_last", last.scalar())
-    siblings = placed.withColumn("ordinal", F.col("_last") + F.col("_n")).drop("_last", "_n")
-    return hits.unionByName(siblings, allowMissingColumns=True)
+    siblings = fresh.select(*query, *PAGE, F.substring("text_content", 1, 2000).alias("text"),
+                            F.substring("text_content", 1, 200).alias("snippet"), F.lit(1).alias("band"))
+    return hits.withColumn("band", F.lit(0)).unionByName(siblings, allowMissingColumns=True)
+
+
+def number_results(results: DataFrame, *, keys: Sequence[str] = ("question_id",), rank: str = "ordinal", total: int = 50) -> DataFrame:
+    """Ranks 1… over (band, rank, page) per question, the first ``total`` kept; the cut comes before the shuffle too."""
+    order = W.partitionBy(*keys).orderBy("band", F.asc_nulls_last(rank), *PAGE)
+    numbered = results.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= total)
+    return numbered.withColumn(rank, F.col("_n")).drop("_n")
 
 
 def named_documents(questions: DataFrame, *, question: str = "question", keys: Sequence[str] = ("question_id",),
@@ -85,12 +88,10 @@ def overview_pages(named: DataFrame, documents: DataFrame, pages: DataFrame, hit
     return out.join(hits.select(*keys, *PAGE), [*keys, *PAGE], "left_anti") if hits is not None else out
 
 
-def prepend(front: DataFrame, results: DataFrame, *, keys: Sequence[str] = ("question_id",)) -> DataFrame:
-    """Front rows get ordinals ahead of all results of their question."""
-    keys = list(keys)
-    order = W.partitionBy(*keys).orderBy("doc_id", "page_number")
-    numbered = front.withColumn("ordinal", F.row_number().over(order) - F.lit(1_000_000))
-    return numbered.unionByName(results, allowMissingColumns=True)
+def prepend(front: DataFrame, results: DataFrame) -> DataFrame:
+    """Overview pages go ahead of all results (``band`` -1)."""
+    banded = results if "band" in results.columns else results.withColumn("band", F.lit(0))
+    return front.withColumn("band", F.lit(-1)).unionByName(banded, allowMissingColumns=True)
 
 
 # --- ranking ----------------------------------------------------------------------------------
@@ -129,18 +130,19 @@ def fuse(left: DataFrame, right: DataFrame, *, keys: Sequence[str] = (), k: int
 
 def cap_per_document(results: DataFrame, *, keys: Sequence[str] = ("question_id",), rank: str = "ordinal", most: int = 4,
                      dominant: float = 0.70) -> DataFrame:
-    """At most ``most`` pages per document in rank order; a document with 70 % of the rows is not cut.
+    """At most ``most`` pages per document in rank order; a document with 70 % of a question's rows is not cut.
 
-    Window groups are the results of one question, which are few by construction (at most ``total``
-    plus the semantic hits).
+    Shares come from counts; the dominant document passes through a join, and the row limit of all
+    others is applied before their shuffle, so no window ever holds a whole question.
     """
     keys = list(keys)
-    document, question = W.partitionBy(*keys, "doc_id"), W.partitionBy(*keys)
-    marked = (
-        results.withColumn("_nth", F.row_number().over(document.orderBy(rank)))
-        .withColumn("_share", F.count("*").over(document) / F.count("*").over(question))
-    )
-    return marked.filter((F.col("_nth") <= most) | (F.col("_share") >= dominant)).drop("_nth", "_share")
+    counts = results.groupBy(*keys, "doc_id").agg(F.count("*").alias("_n"))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    leaders = counts.join(totals, keys).filter(F.col("_n") / F.col("_total") >= dominant).select(*keys, "doc_id")
+    whole = results.join(leaders, [*keys, "doc_id"], "left_semi")
+    nth = F.row_number().over(W.partitionBy(*keys, "doc_id").orderBy(rank))
+    cut = results.join(leaders, [*keys, "doc_id"], "left_anti").withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_nth")
+    return whole.unionByName(cut)
 
 
 def best_sources(results: DataFrame, *, keys: Sequence[str] = ("question_id",), rank: str = "ordinal", most: int = 15) -> DataFrame:
@@ -193,32 +195,44 @@ def split_history(messages: DataFrame, *, conv: str = "conv_id", turn: str = "tu
         "recent", F.col("cutoff").isNull() | (F.col(turn) >= F.col("cutoff"))).drop("cutoff")
 
 
-def compact_history(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", max_turns: int = 6,
-                    question_chars: int = 150, answer_chars: int = 600) -> DataFrame:
-    """``(conv_id, history)``: older question/answer pairs shortened into one block under a fixed heading.
+def history_lines(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", max_turns: int = 6,
+                  question_chars: int = 150, answer_chars: int = 600) -> DataFrame:
+    """``(conv_id, turn, line)``: older question/answer pairs, shortened, one row each.
 
-    A pair is a user message directly followed by an assistant message, both outside the recent part.
-    Long conversations are paired bin by bin; only the shortened pairs meet in the block.
+    A pair is a user message directly followed by an assistant message, both outside the recent
+    part.  Rows keep a very long conversation spread over tasks.
     """
     dropped = split_history(messages, conv=conv, turn=turn, max_turns=max_turns).filter(~F.col("recent"))
     slim = dropped.select(conv, turn, "role", F.substring("text", 1, max(question_chars, answer_chars) + 1).alias("text"))
-    paired = with_next(slim, conv, turn, ["role", "text"])
-    is_pair = (F.col("role") == "user") & (F.col("next_role") == "assistant")
+    paired = with_next(slim, conv, turn, ["role", "text"]).filter("role = 'user' AND next_role = 'assistant'")
     answer = F.concat(strip(F.substring("next_text", 1, answer_chars)),
                       F.when(F.length("next_text") > answer_chars, "...").otherwise(""))
     line = F.concat(F.lit("Q: "), strip(truncate("text", question_chars)), F.lit("\nA: "), answer, F.lit("\n"))
-    listed = F.filter(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.when(is_pair, line).alias("l")))),
-                      lambda x: x["l"].isNotNull())
-    body = F.transform(listed, lambda x: x["l"])
-    return paired.groupBy(conv).agg(F.array_join(F.concat(F.array(F.lit(V.HISTORY_HEADER)), body), "\n").alias("history"))
+    return paired.select(conv, turn, line.alias("line"))
+
+
+def history_text(lines: DataFrame, *, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """One block per conversation under the fixed heading, for conversations that go into a prompt whole."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.col("line").alias("l")))), lambda x: x["l"])
+    return lines.groupBy(conv).agg(F.array_join(F.concat(F.array(F.lit(V.HISTORY_HEADER)), listed), "\n").alias("history"))
 
 
 def prompt_context(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", max_turns: int = 6) -> DataFrame:
-    """Ordered context rows per conversation: condensed block and its acknowledgement, then the recent messages."""
-    recent = split_history(messages, conv=conv, turn=turn, max_turns=max_turns).filter("recent").select(
-        conv, F.col(turn).cast("long").alias("seq"), "role", F.col("text").alias("content"))
-    block = compact_history(messages, conv=conv, turn=turn, max_turns=max_turns)
-    old = block.select(conv, F.lit(-2).cast("long").alias("seq"), F.lit("user").alias("role"), F.col("history").alias("content"))
-    ack = block.select(conv, F.lit(-1).cast("long").alias("seq"), F.lit("assistant").alias("role"),
-                       F.lit(V.HISTORY_ACK).alias("content"))
-    return old.unionByName(ack).unionByName(recent)
+    """Context rows per conversation, ordered by (part, seq): heading, condensed pairs, acknowledgement, recent messages.
+
+    Parts 0 and 1 together are the condensed user message; they exist for long conversations only.
+    """
+    split = split_history(messages, conv=conv, turn=turn, max_turns=max_turns)
+    long_ones = split.filter(~F.col("recent")).select(conv).distinct()
+    lines = history_lines(messages, conv=conv, turn=turn, max_turns=max_turns)
+
+    def rows(df: DataFrame, part: int, seq, role, content) -> DataFrame:
+        return df.select(conv, F.lit(part).alias("part"), seq.cast("long").alias("seq"), role.alias("role"), content.alias("content"))
+
+    zero = F.lit(0)
+    return (
+        rows(long_ones, 0, zero, F.lit("user"), F.lit(V.HISTORY_HEADER))
+        .unionByName(rows(lines, 1, F.col(turn), F.lit("user"), F.col("line")))
+        .unionByName(rows(long_ones, 2, zero, F.lit("assistant"), F.lit(V.HISTORY_ACK)))
+        .unionByName(rows(split.filter("recent"), 3, F.col(turn), F.col("role"), F.col("text")))
+    )

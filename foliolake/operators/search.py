@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import fixed_values as V
-from ..functions.text import WORD, as_column, fold, token_count, tokens
+from ..functions.text import ACCENTED, SPACE_RUN, UNACCENTED, WORD, as_column, fold, strip, token_count, tokens
 
 LETTER = r"[\p{L}\p{N}]"
 
@@ -69,16 +69,15 @@ def term_pattern(term: str) -> str:
     return rf"(?<!{LETTER}){body}" + ("" if prefix else rf"(?!{LETTER})")
 
 
-def _fold_terms(spark, terms: Sequence[str]) -> list[str]:
-    # the few query terms are folded by the same table the text is folded with
-    from ..functions.text import ACCENTED, UNACCENTED
-
+def fold_terms(terms: Sequence[str]) -> list[str]:
+    """Query words folded like the text; a word with punctuation inside becomes several terms."""
     table = str.maketrans(ACCENTED, UNACCENTED)
     out: list[str] = []
-    for t in terms:
-        star = "*" if t.endswith("*") else ""
-        out += [w + (star if i == len(ws) - 1 else "") for ws in [re.findall(r"[^\W_]+", t.lower().translate(table))]
-                for i, w in enumerate(ws)]
+    for term in terms:
+        parts = re.findall(r"[^\W_]+", term.lower().translate(table))
+        if parts and term.endswith("*"):
+            parts[-1] += "*"
+        out += parts
     return list(dict.fromkeys(out))
 
 
@@ -88,7 +87,7 @@ def search_text(units: DataFrame, text: str, terms: Sequence[str], *, mode: str
     The corpus numbers (unit count, token total, document frequencies) are one scalar subquery over
     the same scan, so the ranking itself is narrow: no join and no shuffle.
     """
-    terms = _fold_terms(units.sparkSession, terms)
+    terms = fold_terms(terms)
     if not terms:
         return units.limit(0).withColumn("rank", F.lit(0.0))
     folded = units.withColumn("_folded", fold(text)).withColumn("_n", token_count("_folded"))
@@ -188,9 +187,10 @@ def match_units(postings: DataFrame, unit: Sequence[str], *, all_of: Sequence[st
     checks += [F.max(term.startswith(p)) for p in prefix]
     if phrase:
         # word i of the phrase sits i places after the first: shifted position lists must share a value
-        lists = [
-            F.max(F.when(term == t, F.transform("positions", lambda p, i=i: p - F.lit(i)))) for i, t in enumerate(phrase)
-        ]
+        def shifted(t: str, by: int) -> Column:
+            return F.max(F.when(term == t, F.transform("positions", lambda p: p - by)))
+
+        lists = [shifted(t, i) for i, t in enumerate(phrase)]
         shared = lists[0]
         for more in lists[1:]:
             shared = F.array_intersect(shared, more)
@@ -204,24 +204,30 @@ def match_units(postings: DataFrame, unit: Sequence[str], *, all_of: Sequence[st
 # --- snippets and windows ---------------------------------------------------------------------
 
 
-def snippet(text: str | Column, terms: Sequence[str], *, words: int = 64, open_mark: str = "**", close_mark: str = "**") -> Column:
-    """Window of ``words`` blank-separated words with the most hits (first on ties), hits marked."""
-    pattern = "|".join(term_pattern(t) for t in _fold_terms(None, terms)) or "$^"
-    parts = F.filter(F.split(as_column(text), "(?U)\\s+"), lambda w: w != "")
-    hits = F.transform(parts, lambda w: fold(w).rlike(pattern))
-    places = F.filter(F.transform(hits, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
-
-    def hits_from(start: Column) -> Column:
-        return F.size(F.filter(places, lambda p: (p >= start) & (p < start + words)))
+def snippet(text: str | Column, terms: Sequence[str] | Column, *, words: int = 64, open_mark: str = "**",
+            close_mark: str = "**") -> Column:
+    """Window of ``words`` blank-separated words with the most hits (first on ties), hits marked.
 
-    best = F.array_max(F.transform(places, lambda p: F.struct(hits_from(p).alias("hits"), (-p).alias("start"))))
-    begin = F.coalesce(-best["start"], F.lit(0))
+    ``terms`` are fixed words (``word*`` for a prefix) or a column of folded terms that differs by row.
+    """
+    if isinstance(terms, Column):
+        def is_hit(word: Column) -> Column:
+            return F.arrays_overlap(tokens(word), terms)
+    else:
+        pattern = "|".join(term_pattern(t) for t in fold_terms(terms)) or "$^"
+
+        def is_hit(word: Column) -> Column:
+            return fold(word).rlike(pattern)
+
+    parts = F.transform(F.filter(F.split(as_column(text), SPACE_RUN), lambda w: w != ""),
+                        lambda w: F.struct(w.alias("w"), is_hit(w).alias("hit")))
+    places = F.filter(F.transform(parts, lambda p, i: F.when(p["hit"], i)), lambda i: i.isNotNull())
+    best = F.array_max(F.transform(places, lambda p: F.struct(
+        F.size(F.filter(places, lambda q: (q >= p) & (q < p + words))).alias("hits"), (-p).alias("start"))))
     # a window that would run over the end slides back
-    begin = F.greatest(F.least(begin, F.size(parts) - words), F.lit(0))
-    shown = F.transform(
-        F.slice(parts, begin + 1, words),
-        lambda w: F.when(fold(w).rlike(pattern), F.concat(F.lit(open_mark), w, F.lit(close_mark))).otherwise(w),
-    )
+    begin = F.greatest(F.least(F.coalesce(-best["start"], F.lit(0)), F.size(parts) - words), F.lit(0))
+    shown = F.transform(F.slice(parts, begin + 1, words), lambda p: F.when(
+        p["hit"], F.concat(F.lit(open_mark), p["w"], F.lit(close_mark))).otherwise(p["w"]))
     return F.concat(
         F.when(begin > 0, "...").otherwise(""),
         F.array_join(shown, " "),
@@ -232,8 +238,6 @@ def snippet(text: str | Column, terms: Sequence[str], *, words: int = 64, open_m
 def match_window(text: str | Column, snippet_text: str | Column, *, window: int = 2000) -> Column:
     """Context around the place the snippet came from; short texts and early matches give the head."""
     text, mark = as_column(text), as_column(snippet_text)
-    from ..functions.text import strip
-
     clean = strip(F.replace(F.replace(mark, F.lit("**"), F.lit("")), F.lit("..."), F.lit(" ")))
     sample = strip(F.substring(clean, 1, 40))
     at = F.instr(text, sample) - 1

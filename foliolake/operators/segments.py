@@ -62,7 +62,7 @@ def _chained(blocks: Column, seconds: float) -> Column:
 
 def number_segments(segments: DataFrame, *, media: str = "media_id", start: str = "start", end: str = "end",
                     order: Sequence[str] = ("start", "end"), seconds: float = V.SEGMENT_PAGE_SECONDS,
-                    block_seconds: int = 3600) -> DataFrame:
+                    block_seconds: int = 300) -> DataFrame:
     """Segments with ``page_number`` (from 1); times are seconds from the start of the recording.
 
     ``order`` must begin with the start time and put the segments of a recording in a total order.

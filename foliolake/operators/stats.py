@@ -182,15 +182,10 @@ def project_entities(mentions: DataFrame, *, dataset: str = "dataset", per_datas
 
 
 def entity_detail(persons: DataFrame, document_persons: DataFrame, *, keys: Sequence[str] = ("person_id", "name")) -> DataFrame:
-    """One row per (person, document): a person's linked documents as rows, so that a person linked to
-    very many documents stays spread.  ``as_lists`` folds them for a few persons."""
+    """One row per (person, document): linked documents stay rows, however many a person has."""
     return persons.select(*keys).join(document_persons.select("person_id", "doc_id").distinct(), "person_id", "left")
 
 
-def as_lists(detail: DataFrame, *, keys: Sequence[str] = ("person_id", "name")) -> DataFrame:
-    return detail.groupBy(*keys).agg(F.sort_array(F.collect_set("doc_id")).alias("document_ids"))
-
-
 # --- projects and runs ------------------------------------------------------------------------
 
 
@@ -219,22 +214,22 @@ def run_status(cases: DataFrame, runs: DataFrame, *, case: str = "case_id") -> D
 
 
 def redaction_rollup(regions: DataFrame) -> DataFrame:
-    """Regions per document by class, recovered texts joined in page order.
-
-    The list belongs to one document and holds only texts recovered under a redaction.
-    """
+    """Regions per document by class."""
     kind = F.col("classification")
-    text = F.when((kind == "recoverable") & (F.coalesce("recovered_text", F.lit("")) != ""),
-                  F.struct("page", "region", F.col("recovered_text").alias("text")))
     return regions.groupBy("doc_id").agg(
         F.count("*").alias("total_redactions"),
         F.count_if(kind == "proper").alias("proper"),
         F.count_if(kind == "bad_overlay").alias("bad_overlay"),
         F.count_if(kind == "recoverable").alias("recoverable"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(text)), lambda x: x["text"]), "; ").alias("recovered"),
     )
 
 
+def recovered_texts(regions: DataFrame) -> DataFrame:
+    """Texts found under recoverable redactions, one row each, so that a document may hold any number."""
+    found = (F.col("classification") == "recoverable") & (F.coalesce("recovered_text", F.lit("")) != "")
+    return regions.filter(found).select("doc_id", "page", F.col("recovered_text").alias("text"))
+
+
 def redaction_totals(rollup: DataFrame) -> DataFrame:
     return rollup.agg(F.count("*").alias("files"), F.sum("total_redactions").alias("total_redactions"),
                       F.sum("recoverable").alias("recoverable"))
