@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,21 +31,24 @@ def local_session(app: str = "foliolake", cores: str = "*", shuffle_partitions:
     return spark
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for stream output and checkpoints: in the shared folder the cluster names, else local for tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4()}"
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
+    raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` wins.  A temporary folder is used only when the
-    session names none *and* runs in local mode; on a cluster that is an error,
-    because a machine-local folder does not survive the loss of an executor.
+    A temporary folder serves local mode only; on a cluster ``spark.checkpoint.dir``
+    must be set, because a machine-local folder does not survive the loss of an executor.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if folder:
-        context.setCheckpointDir(folder)
-    elif context.master.startswith("local"):
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before cutting lineage")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(work_folder(spark, "lineage"))
     return df.checkpoint(eager=True)
