@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import fixed_values as V
+from ..functions.once import once
 from ..functions.text import ACCENTED, SPACE_RUN, UNACCENTED, WORD, as_column, fold, strip, token_count, tokens
 
 LETTER = r"[\p{L}\p{N}]"
@@ -90,12 +91,11 @@ def search_text(units: DataFrame, text: str, terms: Sequence[str], *, mode: str
     terms = fold_terms(terms)
     if not terms:
         return units.limit(0).withColumn("rank", F.lit(0.0))
-    folded = units.withColumn("_folded", fold(text)).withColumn("_n", token_count("_folded"))
-    counted = folded.select(
-        "*", *[F.regexp_count("_folded", F.lit(term_pattern(t))).alias(f"_tf{i}") for i, t in enumerate(terms)]
-    )
+    folded = once(units, _folded=fold(text))
+    counted = once(folded, _n=token_count("_folded"), **{
+        f"_tf{i}": F.regexp_count("_folded", F.lit(term_pattern(t))) for i, t in enumerate(terms)}).drop("_folded")
     tf = [F.col(f"_tf{i}") for i in range(len(terms))]
-    stats = counted.select("_n", *[f"_tf{i}" for i in range(len(terms))]).agg(
+    stats = counted.agg(
         F.struct(
             F.count("*").alias("n"),
             F.sum("_n").alias("total"),
@@ -110,7 +110,7 @@ def search_text(units: DataFrame, text: str, terms: Sequence[str], *, mode: str
     rank = F.lit(0.0)
     for i, c in enumerate(tf):
         rank = rank + bm25_term(c, F.col("_n"), mean, idf(F.col("_stats.n"), F.col(f"_stats.df{i}")))
-    return hits.withColumn("rank", rank).drop("_folded", "_n", "_stats", *[f"_tf{i}" for i in range(len(terms))])
+    return hits.withColumn("rank", rank).drop("_n", "_stats", *[f"_tf{i}" for i in range(len(terms))])
 
 
 def search(postings: DataFrame, doclens: DataFrame, query_terms: DataFrame, unit: Sequence[str], *,

@@ -268,11 +268,11 @@ def duplicate_hashes(spark, sf):
 
 @query(f"WITH {RANGES} SELECT doc_id, prefix, lo, hi FROM ranges")
 def range_parse(spark, sf):
-    return number_ranges(spark, sf).select("doc_id", ranges.parse_range("number_range").alias("r")).select("doc_id", "r.*")
+    return _parsed(spark, sf)
 
 
 def _parsed(spark, sf):
-    return number_ranges(spark, sf).select("doc_id", ranges.parse_range("number_range").alias("r")).filter("r IS NOT NULL").select("doc_id", "r.*")
+    return ranges.parsed_ranges(number_ranges(spark, sf), "number_range")
 
 
 @query(f"""WITH {RANGES}, o AS (SELECT *, max({{'hi': hi, 'id': doc_id}}) OVER (PARTITION BY prefix ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ranges)
@@ -304,7 +304,7 @@ def comparable_titles(spark, sf):
 
 _BLOCK_SQL = """b AS (SELECT p_partkey, lower(p_name) AS n, substr(lower(p_name), 1, 6) || '_' || length(p_name) // 5 AS coarse FROM part),
  z AS (SELECT *, count(*) OVER (PARTITION BY coarse) AS sz FROM b),
- bl AS (SELECT p_partkey, n, CASE WHEN sz > 60 THEN substr(n, 1, 10) || '_' || length(n) // 3 ELSE coarse END AS block FROM z)"""
+ bl AS (SELECT p_partkey, n, CASE WHEN sz > 60 THEN '+' || substr(n, 1, 10) || '_' || length(n) // 3 ELSE coarse END AS block FROM z)"""
 
 
 @query(f"WITH {_BLOCK_SQL} SELECT p_partkey, block FROM bl")
@@ -313,13 +313,6 @@ def title_blocks(spark, sf):
     return dedup.title_blocks(p, cap=60).select("p_partkey", "block")
 
 
-def _parts_as_records(spark, sf):
-    p = table(spark, sf, "part")
-    title = F.concat("p_name", F.lit(" lot "), F.regexp_replace(F.conv((F.col("p_partkey") * 48271 % 65521).cast("string"), 10, 16), "(..)", "$1 "))
-    return p.select(F.col("p_partkey").alias("id"), title.alias("title"), F.lit(None).cast("string").alias("number_range"),
-                    F.lit(None).cast("string").alias("content_hash"))
-
-
 @query(f"""WITH {_BLOCK_SQL.replace('sz > 60', 'sz > 500')}, g AS (SELECT block, n, min(p_partkey) AS id_1 FROM bl GROUP BY ALL)
  SELECT id_1, p_partkey AS id_2, 1.0::DOUBLE AS score FROM bl JOIN g USING (block, n) WHERE p_partkey <> id_1""")
 def title_links_equal(spark, sf):
@@ -330,8 +323,8 @@ def title_links_equal(spark, sf):
 
 @query()
 def title_links(spark, sf):
-    """Near-equal titles; compared with brute force in the tests."""
-    return dedup.title_links(_parts_as_records(spark, sf))
+    """Near-equal document titles; compared with brute force in the tests."""
+    return dedup.title_links(dedup.dedup_records(titled(spark, sf)))
 
 
 @query()
