@@ -52,7 +52,7 @@ def tagged_entities(docs: DataFrame, tagger: Callable[[], Callable[[list[str]],
     slices = docs.select(*keys, F.explode(n_slices).alias("_slice"), F.col(text)).withColumn(
         text, F.substring(F.col(text), F.col("_slice") * slice_chars + 1, F.lit(slice_chars))
     ).drop("_slice")
-    schema = docs.select(*keys).schema.add("entity_type", "string").add("text", "string").add("start", "int").add("end", "int")
+    schema = docs.select(*keys).schema.add("entity_type", "string").add("text", "string").add("start", "integer").add("end", "integer")
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
