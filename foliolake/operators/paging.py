@@ -23,7 +23,7 @@ def packed_pages(text: Column, *, separator: str = "\n\n", target: int = V.PAGE_
                  minimum: int = V.PAGE_MIN_CHARS) -> Column:
     """Greedy packing of paragraphs into pages of about ``target`` characters, as an array.
 
-    A short text is one page as it stands.  A buffer below ``minimum`` that has to give way joins
+    A short text is one page as it stands, a blank long one has none.  A buffer below ``minimum`` that has to give way joins
     the page before it (or stands alone when it is the first); so does a short tail.
     """
     gap = F.lit(separator)
@@ -52,10 +52,7 @@ def packed_pages(text: Column, *, separator: str = "\n\n", target: int = V.PAGE_
             .otherwise(join_last(done, cur))
         )
 
-    packed = F.aggregate(paragraphs, _start(), step, finish)
-    return F.when(F.length(text) <= target, F.array(text)).otherwise(
-        F.when(F.size(packed) > 0, packed).otherwise(F.array(text))
-    )
+    return F.when(F.length(text) <= target, F.array(text)).otherwise(F.aggregate(paragraphs, _start(), step, finish))
 
 
 def section_pages(text: Column, *, separator: str = "\n\n", minimum: int = V.SECTION_MIN_CHARS) -> Column:
@@ -77,7 +74,8 @@ def section_pages(text: Column, *, separator: str = "\n\n", minimum: int = V.SEC
 
     merged = F.aggregate(sections, _start(), step, finish)
     pages = F.when(F.contains(text, F.lit("\f")), by_feed).otherwise(merged)
-    return F.when(F.size(pages) > 0, pages).otherwise(F.array(text))
+    # bound by a one-element array so that the fold runs once
+    return F.element_at(F.transform(F.array(pages), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(text))), 1)
 
 
 def _explode(df: DataFrame, pages: Column, doc_id: str, keep: list[str]) -> DataFrame:

@@ -24,7 +24,7 @@ def discover(spark: SparkSession, folder: str, extensions: Sequence[str] | None
 
 def text_documents(spark: SparkSession, folder: str, extensions: Sequence[str] = tuple(V.TEXT_INGEST_EXTENSIONS)) -> DataFrame:
     """Plain files, one document each: ``(doc_id, title, text, tags, path)``; blank files are skipped."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    raw = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
     named = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return text_to_documents(named.filter(suffix("path").isin(list(extensions))))
 

@@ -35,8 +35,9 @@ def test_discover_and_census(spark, folder):
 
 
 def test_text_documents(spark, folder):
-    got = {r.title: r for r in files.text_documents(spark, str(folder / "in")).collect()}
-    assert set(got) == {"Finance Report", "Memo One", "Notice"} and got["Notice"].doc_id.startswith("txt-")
+    rows = files.text_documents(spark, str(folder / "in")).collect()
+    got = {r.title: r for r in rows}
+    assert len(rows) == 3 and got["Memo One"].text == TEXTS["memo-one.md"] and set(got) == {"Finance Report", "Memo One", "Notice"} and got["Notice"].doc_id.startswith("txt-")
 
 
 def test_end_to_end_ingest(spark, folder):
