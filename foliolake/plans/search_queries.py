@@ -380,27 +380,24 @@ def cosine_topk(spark, sf):
 
 
 @query(f"""WITH {PAGES}, {bm25('doc_pages', '', ['the', 'this'])}, {_CENTRES_SQL},
- l AS (SELECT doc_id, page_number, row_number() OVER (ORDER BY round(rank, 9), doc_id, page_number) AS r FROM hits QUALIFY r <= 50),
+ l AS (SELECT label, doc_id, page_number, row_number() OVER (PARTITION BY label ORDER BY round(rank, 9), doc_id, page_number) AS r FROM hits JOIN embeddings ON vec_id = doc_id QUALIFY r <= 50),
  s2 AS (SELECT query_id AS label, vec_id AS doc_id, 1 AS page_number, rank_no AS r FROM near),
- k AS (SELECT label, doc_id, page_number FROM (SELECT DISTINCT label FROM embeddings), l UNION SELECT label, doc_id, page_number FROM s2),
- f AS (SELECT k.*, l.r AS lr, s2.r AS rr, coalesce(1.0 / (60 + l.r), 0) + coalesce(1.0 / (60 + s2.r), 0) AS score FROM k
-  LEFT JOIN l USING (doc_id, page_number) LEFT JOIN s2 USING (label, doc_id, page_number))
+ f AS (SELECT label, doc_id, page_number, l.r AS lr, s2.r AS rr, coalesce(1.0 / (60 + l.r), 0) + coalesce(1.0 / (60 + s2.r), 0) AS score FROM l FULL JOIN s2 USING (label, doc_id, page_number))
  SELECT label, doc_id, page_number, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, lr NULLS LAST, rr NULLS LAST) AS INTEGER) AS ordinal FROM f""")
 def rank_fusion(spark, sf):
-    """Text hits (top 50) fused with the vector hits of every label."""
-    ranked = search.search_text(pages(spark, sf), "text_content", ["the", "this"]).select(*PAGE, "rank")
-    best = search.top_k(ranked.withColumn("one", F.lit(1)), 50, [F.round("rank", 9), F.asc("doc_id"), F.asc("page_number")], by=["one"])
+    """Per label: the best 50 text hits of its documents fused with the vectors nearest to its centre."""
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    ranked = search.search_text(pages(spark, sf), "text_content", ["the", "this"]).select(*PAGE, "rank").join(labels, "doc_id")
+    best = search.top_k(ranked, 50, [F.round("rank", 9), F.asc("doc_id"), F.asc("page_number")], by=["label"])
+    left = best.select("label", *PAGE, F.col("position").alias("rank_no"))
     near = vectors.vector_topk(_centres(spark, sf), table(spark, sf, "embeddings")).select(
         F.col("query_id").alias("label"), F.col("vec_id").alias("doc_id"), F.lit(1).alias("page_number"), "rank_no")
-    labels = table(spark, sf, "embeddings").select("label").distinct().withColumn("one", F.lit(1))
-    left = best.join(labels, "one").select("label", *PAGE, F.col("position").alias("rank_no"))
     return retrieval.fuse(left, near, keys=["label"]).select("label", *PAGE, F.round("score", 6).alias("score"), "ordinal")
 
 
 @query()
 def hybrid_evidence(spark, sf):
     """Questions end to end: text hits fused with page-vector hits (hashing encoder), capped, as evidence."""
-    hits = _hits(spark, sf)
     encoder = vectors.hashing_encoder(64)
     page_vectors = vectors.embed_pages(pages(spark, sf), encoder)
     # questions arrive in slices no larger than the query matrix may be
@@ -412,7 +409,6 @@ def hybrid_evidence(spark, sf):
     text_hits = questions.find_pages(postings, doclens, terms)
     fused = retrieval.fuse(text_hits, near, keys=["question_id"], left_rank="ordinal", right_rank="rank_no")
     full = questions.semantic_results(fused, pages(spark, sf), titled(spark, sf))
-    del hits
     return retrieval.evidence_text(retrieval.cap_per_document(full)).select("question_id", F.md5("evidence").alias("evidence_md5"), "n_pages")
 
 
