@@ -1,4 +1,4 @@
-"""Times the headline queries, the better of two runs each; prints one JSON line.
+"""Times the headline queries (the best of BENCH_RUNS runs each); prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (names, or ``all``).
 """
@@ -34,7 +34,7 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in names:
         runs = []
-        for _ in range(2):
+        for _ in range(int(os.environ.get("BENCH_RUNS", "1"))):
             begin = time.perf_counter()
             queries[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - begin)

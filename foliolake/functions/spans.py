@@ -21,9 +21,7 @@ def span_array(text: Column, pattern: str) -> Column:
     ``split`` with limit -1 cuts the text at the very same matches, so the offset of a match
     is the length of all pieces and matches in front of it.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-    pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + pair["g"]
@@ -31,27 +29,30 @@ def span_array(text: Column, pattern: str) -> Column:
         found = F.struct(pair["m"].alias("match"), start.alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(found)).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(pairs, begin, step, lambda state: state["out"])
+    def placed(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+        pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+        return F.when(F.size(matches) == 0, F.array().cast(SPAN)).otherwise(
+            F.aggregate(pairs, begin, step, lambda state: state["out"]))
+
+    # bound by a one-element array: the matches are found once, and a text without any is not split
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed), 1)
 
 
 def find_spans(df: DataFrame, text: str, patterns: Mapping[str, str], *, type_column: str = "type") -> DataFrame:
     """One row per match of any pattern; the text column stays for context checks.
 
-    Rows without any match are dropped by a cheap ``rlike`` before the offsets are worked out.
+    Each pattern runs over the text once; only texts with a match pay for offsets.
     """
     patterns = {kind: unicode_pattern(p) for kind, p in patterns.items()}
     text_col = F.col(text)
-    hit = None
-    for p in patterns.values():
-        hit = text_col.rlike(p) if hit is None else hit | text_col.rlike(p)
 
     def labelled_spans(kind: str, pattern: str) -> Column:
         return F.transform(span_array(text_col, pattern), lambda s: F.struct(
             F.lit(kind).alias(type_column), s["match"].alias("match"), s["start"].alias("start"), s["end"].alias("end")))
 
     labelled = [labelled_spans(kind, p) for kind, p in patterns.items()]
-    return df.filter(hit).withColumn("_span", F.explode(F.concat(*labelled))).select("*", "_span.*").drop("_span")
+    return df.filter(text_col.isNotNull()).withColumn("_span", F.explode(F.concat(*labelled))).select("*", "_span.*").drop("_span")
 
 
 def context(text: Column, start: Column, end: Column, width: int) -> Column:

@@ -113,28 +113,37 @@ def search_text(units: DataFrame, text: str, terms: Sequence[str], *, mode: str
     return hits.withColumn("rank", rank).drop("_n", "_stats", *[f"_tf{i}" for i in range(len(terms))])
 
 
+def vocabulary(postings: DataFrame) -> DataFrame:
+    """``(term, df)``: how many units hold a term; part of a stored index."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
 def search(postings: DataFrame, doclens: DataFrame, query_terms: DataFrame, unit: Sequence[str], *,
-           query: Sequence[str] = ("query_id",)) -> DataFrame:
+           query: Sequence[str] = ("query_id",), terms: DataFrame | None = None) -> DataFrame:
     """All units holding every term of a query: ``(*query, *unit, rank)`` for a whole batch of queries.
 
-    Each query enters through its rarest term only; the other terms are looked up by (term, unit),
+    Each query enters through its rarest term only; its other terms are looked up by (term, unit),
     a unique key.  A very common word therefore costs as much as the rarest word beside it, and no
-    matching unit is lost.  ``query_terms`` holds one row per (query, folded term).
+    matching unit is lost.  ``query_terms`` holds one row per (query, folded term); ``terms`` is the
+    stored ``vocabulary``, counted from the postings when not given.
     """
     unit, query = list(unit), list(query)
     wanted = query_terms.select(*query, "term").distinct()
-    used = postings.select("term", *unit, "tf").join(wanted.select("term").distinct(), "term", "left_semi")
-    frequency = used.groupBy("term").agg(F.count("*").alias("df"))
-    known = wanted.join(frequency, "term", "left")
+    if terms is None:
+        terms = vocabulary(postings.select("term").join(wanted.select("term").distinct(), "term", "left_semi"))
+    known = wanted.join(terms, "term", "left")
+    term = F.struct("term", "df")
+    # the list belongs to one query and is as long as the query
     entry = known.groupBy(*query).agg(
-        F.min_by("term", F.struct("df", "term")).alias("entry"),
-        F.count("*").alias("n_terms"),
-        F.count("df").alias("n_known"),
+        F.min_by(term, F.struct("df", "term")).alias("_entry"), F.collect_list(term).alias("_terms"),
+        F.count("*").alias("n_terms"), F.count("df").alias("n_known"),
     ).filter("n_terms = n_known")
-    candidates = entry.select(*query, "n_terms", F.col("entry").alias("term")).join(
-        used.select("term", *unit), "term").drop("term")
-    found = candidates.join(known, query).join(used, ["term", *unit])
-    return score_matches(found, doclens, unit, query)
+    rows = postings.select("term", *unit, "tf")
+    first = entry.select(*query, "n_terms", "_terms", "_entry.*").join(rows, "term")
+    others = first.filter("n_terms > 1").select(*query, "n_terms", *unit, F.explode(F.filter("_terms", lambda t: t["term"] != F.col("term"))).alias("_t"))
+    looked_up = others.select(*query, "n_terms", *unit, "_t.*").join(rows, ["term", *unit])
+    cols = [*query, "n_terms", *unit, "tf", "df"]
+    return score_matches(first.select(*cols).unionByName(looked_up.select(*cols)), doclens, unit, query)
 
 
 def score_matches(found: DataFrame, doclens: DataFrame, unit: Sequence[str], query: Sequence[str]) -> DataFrame:
@@ -253,6 +262,6 @@ def query_terms(queries: DataFrame, text: str, keys: Sequence[str]) -> DataFrame
 
 
 __all__ = [
-    "WORD", "build_index", "refresh_index", "search_text", "search", "top_k", "match_units", "snippet", "match_window",
+    "WORD", "build_index", "refresh_index", "vocabulary", "search_text", "search", "top_k", "match_units", "snippet", "match_window",
     "query_terms",
 ]

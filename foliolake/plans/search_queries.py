@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import questions, retrieval, search, unified, vectors
-from .bindings import BLANKS, PAGES, SPACES, TITLE, documents, lit, pages, sql_fold, sql_strip, sql_tokens, table, titled
+from .bindings import BLANKS, PAGES, SPACES, TITLE, documents, lit, pages, sql_fold, sql_strip, sql_tokens, stored, table, titled
 from .registry import query
 
 PAGE = ["doc_id", "page_number"]
@@ -116,8 +116,8 @@ def ranked_search_any_prefix(spark, sf):
 
 @query(f"WITH {PAGES}, {bm25('doc_pages', '', ['the', 'with', 'thing'])} SELECT doc_id, page_number, round(rank, 6) AS rank FROM hits")
 def ranked_search_index(spark, sf):
-    """The same ranking from postings instead of text."""
-    postings, doclens = search.build_index(pages(spark, sf), PAGE, "text_content")
+    """The same ranking from stored postings instead of text."""
+    postings, doclens = _index(spark, sf)
     wanted = spark.createDataFrame([(1, "the"), (1, "with"), (1, "thing")], "query_id int, term string")
     return search.search(postings, doclens, wanted, PAGE).select(*PAGE, F.round("rank", 6).alias("rank"))
 
@@ -127,7 +127,7 @@ def ranked_search_index(spark, sf):
   AND NOT list_contains(tk, 'or') AND len(list_filter(tk, lambda x: starts_with(x, 'tion'))) > 0
   AND contains(' ' || array_to_string(tk, ' ') || ' ', ' of the ')""")
 def boolean_search(spark, sf):
-    postings, _ = search.build_index(pages(spark, sf), PAGE, "text_content")
+    postings, _ = _index(spark, sf)
     return search.match_units(postings, PAGE, all_of=["the"], any_of=["this", "was"], none_of=["or"], phrase=["of", "the"], prefix=["tion"])
 
 
@@ -190,12 +190,12 @@ _FOUND_SQL = f"""{PAGES}, {_QUESTIONS_SQL},
 
 
 def _index(spark, sf):
-    return search.build_index(pages(spark, sf), PAGE, "text_content")
+    return stored(spark, sf, "postings"), stored(spark, sf, "doclens")
 
 
 def _hits(spark, sf):
     postings, doclens = _index(spark, sf)
-    return questions.find_pages(postings, doclens, _planned(spark, sf))
+    return questions.find_pages(postings, doclens, _planned(spark, sf), terms=stored(spark, sf, "vocabulary"))
 
 
 @query(f"WITH {_FOUND_SQL} SELECT question_id, doc_id, page_number, query_no, round(rank, 6) AS rank, CAST(ordinal AS INTEGER) AS ordinal FROM hits")
@@ -208,7 +208,7 @@ _BASIC_SQL = f"""{_FOUND_SQL}, res AS (SELECT h.*, substr(p.text_content, 1, 200
 
 
 def _basic(spark, sf):
-    return questions.basic_results(_hits(spark, sf), pages(spark, sf), titled(spark, sf))
+    return questions.basic_results(_hits(spark, sf), stored(spark, sf, "pages"), titled(spark, sf))
 
 
 @query(f"WITH {_BASIC_SQL} SELECT question_id, ordinal::INTEGER AS ordinal, doc_id, page_number, title, md5(text) AS text_md5 FROM res")
@@ -224,14 +224,14 @@ def question_results_basic(spark, sf):
  nu AS (SELECT question_id, doc_id, page_number, band, CAST(row_number() OVER (PARTITION BY question_id ORDER BY band, ordinal, doc_id, page_number) AS INTEGER) AS ordinal FROM al)
  SELECT nu.*, {TITLE} AS title FROM nu JOIN documents d ON d.doc_id = nu.doc_id WHERE ordinal <= 50""")
 def question_results_full(spark, sf):
-    full = questions.full_results(_hits(spark, sf), _planned(spark, sf), pages(spark, sf), titled(spark, sf))
+    full = questions.full_results(_hits(spark, sf), _planned(spark, sf), stored(spark, sf, "pages"), titled(spark, sf))
     return full.select("question_id", "ordinal", *PAGE, "band", "title")
 
 
 @query()
 def question_contexts(spark, sf):
     """Snippet, match window and neighbours of every hit; the text rules are checked in the tests."""
-    full = questions.full_results(_hits(spark, sf), _planned(spark, sf), pages(spark, sf), titled(spark, sf))
+    full = questions.full_results(_hits(spark, sf), _planned(spark, sf), stored(spark, sf, "pages"), titled(spark, sf))
     return full.select("question_id", "ordinal", *PAGE, F.md5("text").alias("text_md5"), "snippet")
 
 
@@ -399,16 +399,16 @@ def rank_fusion(spark, sf):
 def hybrid_evidence(spark, sf):
     """Questions end to end: text hits fused with page-vector hits (hashing encoder), capped, as evidence."""
     encoder = vectors.hashing_encoder(64)
-    page_vectors = vectors.embed_pages(pages(spark, sf), encoder)
+    page_vectors = vectors.embed_pages(stored(spark, sf, "pages"), encoder)
     # questions arrive in slices no larger than the query matrix may be
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     asked_vectors = vectors.encode(asked, "text", encoder)
     near = vectors.vector_topk(asked_vectors, page_vectors, query_id="question_id", key=PAGE)
     terms = asked.select("question_id", F.lit(0).alias("query_no"), F.explode(F.slice(F.array_distinct(tokens("text")), 1, 1)).alias("term"))
     postings, doclens = _index(spark, sf)
-    text_hits = questions.find_pages(postings, doclens, terms)
+    text_hits = questions.find_pages(postings, doclens, terms, terms=stored(spark, sf, "vocabulary"))
     fused = retrieval.fuse(text_hits, near, keys=["question_id"], left_rank="ordinal", right_rank="rank_no")
-    full = questions.semantic_results(fused, pages(spark, sf), titled(spark, sf))
+    full = questions.semantic_results(fused, stored(spark, sf, "pages"), titled(spark, sf))
     return retrieval.evidence_text(retrieval.cap_per_document(full)).select("question_id", F.md5("evidence").alias("evidence_md5"), "n_pages")
 
 

@@ -165,3 +165,17 @@ def report_round_trip(spark, sf):
     folder = work_folder(spark, "report")
     store.write_json(dedup.hash_links(dedup.dedup_records(titled(spark, sf))), folder)
     return spark.read.schema("id_1 bigint, id_2 bigint, score double").json(folder).drop("score")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang AS title, CASE WHEN doc_id % 2 = 0 THEN '/in/' || doc_id || '.pdf' END AS file_path, md5(text) AS text_md5 FROM documents""")
+def record_documents_round_trip(spark, sf):
+    """Documents written as extraction records, every second one nested, and read back."""
+    from ..sources import records
+
+    folder = work_folder(spark, "records")
+    key = F.col("doc_id").cast("string")
+    doc = F.struct(key.alias("id"), F.col("lang").alias("title"), F.col("text").alias("ocrText"))
+    nested = F.to_json(F.struct(F.concat(F.lit("/in/"), key, F.lit(".pdf")).alias("source_path"), doc.alias("document")))
+    documents(spark, sf).select(F.when(F.pmod("doc_id", F.lit(2)) == 0, nested).otherwise(F.to_json(doc))).write.text(folder)
+    got = records.record_documents(records.read_records(spark, folder, one_per_file=False))
+    return got.select("doc_id", "title", "file_path", F.md5("text").alias("text_md5"))

@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 from .. import schemas
 
 
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows ``(path, record)``: one JSON file per document, nested or bare; bad files keep their text."""
-    raw = spark.read.schema(schemas.RECORD).option("multiLine", True).option("mode", "PERMISSIVE") \
+def read_records(spark: SparkSession, folder: str, *, one_per_file: bool = True) -> DataFrame:
+    """Extraction records, nested or bare, one JSON file per document or one line each; bad ones keep their text."""
+    raw = spark.read.schema(schemas.RECORD).option("multiLine", one_per_file).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).json(folder)
     return raw.withColumn("path", F.col("_metadata.file_path"))
 
