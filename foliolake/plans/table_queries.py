@@ -216,7 +216,7 @@ def project_datasets(spark, sf):
     return stats.project_datasets(regions, nations).join(c, "n_nationkey", "left").select("project", "region", "customers")
 
 
-_PLACES_SQL = "places AS (SELECT lower(n_name) AS place, n_nationkey * 2.5 - 30 AS lat, n_nationkey * 7.0 - 90 AS lng FROM nation)"
+_PLACES_SQL = "places AS (SELECT lower(n_name) AS place, CAST(n_nationkey AS DOUBLE) * 2.5 - 30 AS lat, CAST(n_nationkey AS DOUBLE) * 7.0 - 90 AS lng FROM nation)"
 
 
 def _places(spark, sf):
