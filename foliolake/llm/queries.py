@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, token_counts, toxicity
+from . import bpe, gif, language, token_counts, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path=path, pattern=public_tokenizers.PATTERN)
 
 
+@query
+def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_digest(gif.store_texts(table(spark, sf_dir, "documents")))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path=public_tokenizers.path("word_bpe_49k.json"))
