@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, language, lsh, packing, sharding, simhash, token_counts, toxicity
+from . import bpe, gif, language, lsh, packing, secrets, sharding, simhash, token_counts, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.near_vectors(table(spark, sf_dir, "embeddings"))
