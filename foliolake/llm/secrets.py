@@ -178,14 +178,12 @@ def redact(df: DataFrame, *, text: str = "text", length: str | None = "n_chars",
     """
     names = df.columns
     taken = {n.lower() for n in names}
-    base, spans = (next(n for k in range(len(names) + 1) if (n := f"_{what}{k}") not in taken) for what in ("base", "spans"))
+    base, spans, clean = (next(n for k in range(len(names) + 1) if (n := f"_{what}{k}") not in taken) for what in ("base", "spans", "clean"))
     filled = F.coalesce(F.col(text), F.lit(""))
     found = df.select("*", F.explode(F.array(base_spans(filled))).alias(base))
     found = found.select("*", F.explode(F.array(F.array_sort(F.concat(F.col(base), random_spans(filled, F.col(base)))))).alias(spans))
-    # a text is rewritten only where there is something to replace
-    clean = redacted(F.col(text), F.col(spans), mark)
-    changed = {text: clean}
-    if length and length in names:
-        kind = df.schema[length].dataType
-        changed[length] = F.when(F.size(spans) == 0, F.col(length)).otherwise(F.length(clean).cast(kind))
+    found = found.select("*", F.explode(F.array(redacted(F.col(text), F.col(spans), mark))).alias(clean))
+    changed = {text: F.col(clean)}
+    if length and length in names and df.schema[length].dataType.typeName() in ("integer", "long"):
+        changed[length] = F.when(F.size(spans) == 0, F.col(length)).otherwise(F.length(clean).cast(df.schema[length].dataType))
     return found.select(*[changed.get(n, F.col(f"`{n}`")).alias(n) for n in names])
