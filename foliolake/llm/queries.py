@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from . import bpe, gif, language, lsh, packing, secrets, sharding, simhash, token_counts, toxicity
 from .common import table
+from .twins import SECRETS, VECTOR_DEDUP
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_secrets": SECRETS, "op2_vector_dedup": VECTOR_DEDUP}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
