@@ -65,7 +65,6 @@ EDGE_WEIGHTS = {"co-occurrence": 1.0, "co-passenger": 2.0, "correspondence": 1.5
 # --- duplicate detection ---------------------------------------------------------------------
 IDENTIFIER_TITLE = r"^[A-Za-z]{1,10}[\-_]?\d{3,}$"
 NUMBERED_ID = r"^([A-Z]+)(\d+)"
-TITLE_BLOCK_CAP = 500
 
 # --- search ----------------------------------------------------------------------------------
 BM25_K1 = 1.2
@@ -150,3 +149,7 @@ ADDRESS_SUFFIXES = ["Ave", "St", "Blvd", "Rd", "Dr", "Lane", "Way", "Pkwy"]
 DIRECTORY_SYMBOLS = ["{", "}", "<", ">", "•", "▪", "■", "✓", "♦", "≥", "*", "@"]
 GRAPH_NODE_SYMBOLS = ["{", "}", "<", ">", "/", "*", "@", "http", "=", ";"]
 GRAPH_EDGE_SYMBOLS = ["{", "}", "<", ">", "/", "@", "http", "="]
+
+# The letters of the Western single-byte code between 80 and 9F, and the bytes they stand at.
+WESTERN_LETTERS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+WESTERN_CONTROLS = "".join(chr(b) for b in (0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F))

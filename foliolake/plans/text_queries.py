@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import repair, text as X
+from ..functions.once import once
 from ..operators import browse, chunking, paging, segments, stats
 from ..sources import files
 from .bindings import BLANKS, PAGES, SPACES, TITLE, documents, lit, names, pages, sql_fold, sql_normalise, sql_strip, table, titled
@@ -302,11 +303,15 @@ def year_buckets(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", X.year_of(text).alias("y"), F.substring(text, 1, 4).alias("y_text"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents),
+ k AS (SELECT *, len(list_filter(range(1, length(h), 2), lambda i: substr(h, i, 2) IN ('81', '8D', '8F', '90', '9D'))) = 0 AND NOT contains(text, chr(65533)) AS repaired FROM d)
+ SELECT doc_id, repaired, md5(CASE WHEN repaired THEN text END) AS text_md5 FROM k""")
 def mojibake_repair(spark, sf):
-    """Every text is garbled the way cp1252 readers garble UTF-8, then repaired; ``same`` must be true throughout."""
-    return documents(spark, sf).select("doc_id", F.md5(repair.fix_mojibake("text")).alias("repaired_md5"),
-                                       (repair.fix_mojibake("text") == F.col("text")).alias("unchanged"))
+    """Every text is misread and then repaired; five bytes have no letter in the Western code, texts with them stay as they are."""
+    misread = documents(spark, sf).select("doc_id", "text", repair.as_misread("text").alias("misread"))
+    fixed = once(misread, fixed=repair.fix_mojibake("misread"))
+    same = F.col("fixed") == F.col("text")
+    return fixed.select("doc_id", same.alias("repaired"), F.md5(F.when(same, F.col("fixed"))).alias("text_md5"))
 
 
 # --- sources ----------------------------------------------------------------------------------
