@@ -95,15 +95,16 @@ def top_edges(edges: DataFrame, limit: int) -> DataFrame:
 
 
 def between(edges: DataFrame, nodes: DataFrame, *, node: str = "id") -> DataFrame:
-    """Edges with both ends among the nodes.  Apply it after an edge limit: the order shows in the result."""
+    """Edges with both ends among the nodes."""
     ids = nodes.select(F.col(node).alias("_id"))
     return edges.join(ids, edges["source"] == F.col("_id"), "left_semi").join(ids, edges["target"] == F.col("_id"), "left_semi")
 
 
 def registry_graph_edges(persons: DataFrame, document_persons: DataFrame, *, limit: int = 200, edge_limit: int = 500) -> DataFrame:
-    nodes = top_persons(persons, document_persons, limit=limit)
-    pairs = cooccurrence(document_persons, "doc_id", "person_id").select("source", "target", "weight")
-    return between(top_edges(pairs, edge_limit), nodes, node="person_id")
+    """The heaviest edges between the most linked persons; nobody else is paired."""
+    nodes = top_persons(persons, document_persons, limit=limit).select("person_id")
+    pairs = cooccurrence(document_persons.join(nodes, "person_id", "left_semi"), "doc_id", "person_id")
+    return top_edges(pairs.select("source", "target", "weight"), edge_limit)
 
 
 def entity_key(entity_type: str = "entity_type", text: str = "text") -> Column:
@@ -144,15 +145,20 @@ def heavy_enough(counts: DataFrame, minimum: int) -> DataFrame:
     return counts.join(bound.select("id"), "id", "left_semi")
 
 
-def mention_edges(mentions: DataFrame, *, minimum: int = 3, types: Sequence[str] = ("PERSON", "ORG")) -> DataFrame:
+def mention_edges(mentions: DataFrame, *, minimum: int = 3, types: Sequence[str] = ("PERSON", "ORG"), nodes: DataFrame | None = None) -> DataFrame:
     """Entity pairs by mention pairs inside a document, weight >= ``minimum``.
 
     Mentions are counted per (document, entity) before the self-join: the weight of a pair is the
-    sum of the products of its counts, the same number as pairing the mentions one by one.
+    sum of the products of its counts, the same number as pairing the mentions one by one.  With
+    ``nodes(id)`` only entities among them are paired.
     """
-    counts = heavy_enough(mention_counts(mentions, types=types), minimum)
+    counts = mention_counts(mentions, types=types)
+    if nodes is not None:
+        counts = counts.join(nodes.select("id"), "id", "left_semi")
+    counts = heavy_enough(counts, minimum)
     return weighted_pairs(counts, "doc_id", "id", "n").filter(F.col("weight") >= minimum)
 
 
 def mention_graph_edges(mentions: DataFrame, *, limit: int = 200, edge_limit: int = 400) -> DataFrame:
-    return between(top_edges(mention_edges(mentions), edge_limit), mention_nodes(mentions, limit=limit))
+    """The heaviest edges between the nodes of the view."""
+    return top_edges(mention_edges(mentions, nodes=mention_nodes(mentions, limit=limit)), edge_limit)

@@ -169,8 +169,8 @@ def case_top_entities(mentions: DataFrame) -> DataFrame:
     return persons.unionByName(top)
 
 
-def project_entities(mentions: DataFrame, *, dataset: str = "dataset", per_dataset: int | None = 100, limit: int = 30) -> DataFrame:
-    """Leading entities of a project: the best 100 of each dataset, summed; ``per_dataset=None`` sums them all."""
+def project_entities(mentions: DataFrame, *, dataset: str = "dataset", per_dataset: int | None = None, limit: int = 30) -> DataFrame:
+    """Leading entities of a project, over all entities of its datasets; ``per_dataset`` sums only the best so many of each."""
     kept = mentions.filter(noise.project("text"))
     grouped = _by_document(kept, F.col(dataset), F.col("entity_type").alias("etype"), F.lower("text").alias("key")).groupBy(
         dataset, "etype", "key").agg(F.count("*").alias("docs"), F.min("_first.text").alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,8 @@ from pyspark.sql import Window as W
 from ..functions.text import embeddable_text, is_embeddable
 from .chunking import chunk
 
-MAX_QUERY_VECTORS = 4096
+#: Query vectors that travel to a task as one matrix; more of them are searched slice by slice.
+QUERY_SLICE = 4096
 
 
 def hashing_encoder(dims: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
@@ -105,18 +107,26 @@ def cosine(vector: str | Column, query: Sequence[float]) -> Column:
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, *, query_id: str = "query_id", query_vector: str = "embedding",
                 key: Sequence[str] = ("vec_id",), vector: str = "embedding", k: int = 20, min_similarity: float = 0.25,
-                max_queries: int = MAX_QUERY_VECTORS) -> DataFrame:
+                query_slice: int = QUERY_SLICE) -> DataFrame:
     """Exact best ``k`` vectors per query at or above ``min_similarity``: ``(query_id, *key, similarity, rank_no)``.
 
-    The query side travels to every task as one matrix, so its size is checked: beyond
-    ``max_queries`` the caller runs the batch in slices.  Each Arrow batch is one matrix product and
-    passes on at most ``k`` rows per query, so the shuffle never sees the rest.
+    Queries travel to every task as one matrix of at most ``query_slice`` rows; a larger batch is read
+    slice by slice, one scan of the vectors each.  Each Arrow batch is one matrix product and passes
+    on at most ``k`` rows per query, so the shuffle never sees the rest.
     """
-    rows = queries.select(query_id, query_vector).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors: run the batch in slices")
     key = list(key)
-    id_type = queries.schema[query_id].dataType
+    rows = queries.select(query_id, query_vector).toLocalIterator()
+    local = None
+    while (part := list(islice(rows, query_slice))) or local is None:
+        near = _near_slice(part, queries.schema[query_id].dataType, vectors, query_id, key, vector, k, min_similarity)
+        local = near if local is None else local.unionByName(near)
+    order = W.partitionBy(query_id).orderBy(F.desc("similarity"), *key)
+    return local.withColumn("rank_no", F.row_number().over(order)).filter(F.col("rank_no") <= k)
+
+
+def _near_slice(rows: list, id_type: T.DataType, vectors: DataFrame, query_id: str, key: list[str], vector: str, k: int,
+                min_similarity: float) -> DataFrame:
+    """Candidates of one slice of queries: per Arrow batch, the best ``k`` and their ties."""
     schema = T.StructType([T.StructField(query_id, id_type)] + [vectors.schema[c] for c in key] + [
         T.StructField("similarity", T.DoubleType())])
     ids = [r[0] for r in rows]
@@ -140,6 +150,4 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, *, query_id: str = "quer
                     out["similarity"] = col[good]
                     yield out
 
-    local = vectors.select(*key, vector).mapInPandas(run, schema)
-    order = W.partitionBy(query_id).orderBy(F.desc("similarity"), *key)
-    return local.withColumn("rank_no", F.row_number().over(order)).filter(F.col("rank_no") <= k)
+    return vectors.select(*key, vector).mapInPandas(run, schema)

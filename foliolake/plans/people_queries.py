@@ -17,6 +17,25 @@ from .table_queries import NOISE_SQL
 PAGE = ["doc_id", "page_number"]
 
 
+# --- Indel ratio in SQL -----------------------------------------------------------------------
+
+
+def sql_indel(source: str, name: str) -> str:
+    """Tables for ``WITH RECURSIVE``: ``name(id_1, id_2, ratio)`` of the pairs ``source(id_1, id_2, x, y)`` of strings.
+
+    The LCS table is filled row by row, one letter of ``x`` a step.
+    """
+    return f"""{name}_rows AS (SELECT id_1, id_2, x, string_split(y, '') AS y, 0 AS i, list_transform(range(0, length(y) + 1), lambda j: 0::BIGINT) AS r FROM {source}
+  UNION ALL SELECT id_1, id_2, x, y, i + 1, list_transform(range(1, len(y) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k:
+   greatest(r[k], CASE WHEN k > 1 AND y[k - 1] = substr(x, i + 1, 1) THEN r[k - 1] + 1 ELSE 0 END)))) FROM {name}_rows WHERE i < length(x)),
+ {name} AS (SELECT id_1, id_2, 2.0::DOUBLE * r[len(r)] / (length(x) + len(y)) AS ratio FROM {name}_rows WHERE i = length(x))"""
+
+
+def sql_near(x: str, y: str, threshold: float) -> str:
+    """Pairs that can reach the ratio: the edit distance with substitutions is never above the Indel distance."""
+    return f"levenshtein({x}, {y}) <= {1 - threshold:.2f} * (length({x}) + length({y})) + 1e-9"
+
+
 # --- spans in SQL -----------------------------------------------------------------------------
 
 
@@ -219,9 +238,22 @@ def match_exact(spark, sf):
     return entities.match_exact(_mentioned(spark, sf), _names(spark, sf)).select("doc_id", "person_id")
 
 
-@query()
+def _fuzzy_sql(threshold: float) -> str:
+    """``fz(name_key, person_id, matched_name, ratio)``: the best registry name of each unknown one, the earliest on ties."""
+    words = lambda e: f"array_to_string(list_sort(list_filter(regexp_split_to_array({e}, '\\s+'), lambda w: w <> '')), ' ')"
+    return f"""ff AS (SELECT name_key, min(person_id * 2 + al) AS first_at FROM (
+   SELECT {sql_normalise('name')} AS name_key, person_id, 0 AS al FROM persons UNION ALL SELECT {sql_normalise('alias')}, person_id, 1 FROM persons) GROUP BY 1),
+ fk AS (SELECT DISTINCT {sql_normalise('text')} AS name_key FROM cm WHERE {sql_normalise('text')} NOT IN (SELECT name_key FROM nm)),
+ fp AS (SELECT fk.name_key AS id_1, nm.name_key AS id_2, {words('fk.name_key')} AS x, {words('nm.name_key')} AS y FROM fk CROSS JOIN nm),
+ fc AS (SELECT * FROM fp WHERE {sql_near('x', 'y', threshold)}), {sql_indel('fc', 'fi')},
+ fz AS (SELECT id_1 AS name_key, arg_min({{'p': nm.person_id, 'm': id_2}}, {{'s': -ratio, 'f': first_at}}) AS best, max(ratio) AS ratio
+  FROM fi JOIN nm ON nm.name_key = id_2 JOIN ff ON ff.name_key = id_2 WHERE ratio >= {threshold} GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_NAMES_SQL}, {_MENTIONED_SQL}, {_fuzzy_sql(0.85)} SELECT doc_id, text, coalesce(nm.person_id, fz.best.p) AS person_id
+ FROM cm LEFT JOIN nm ON nm.name_key = {sql_normalise('text')} LEFT JOIN fz ON fz.name_key = {sql_normalise('text')}""")
 def link_persons(spark, sf):
-    """Exact, then fuzzy at 85; fuzzy results are compared with brute force in the tests."""
+    """Exact, then fuzzy at 85."""
     return entities.link_persons(_mentioned(spark, sf), _names(spark, sf)).select("doc_id", "text", "person_id")
 
 
@@ -232,7 +264,10 @@ def mention_confidence_exact(spark, sf):
     return scored.filter("match_type <> 'fuzzy'").select("doc_id", "person_id", "confidence", "match_type")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NAMES_SQL}, {_MENTIONED_SQL}, {_fuzzy_sql(0.90)}
+ SELECT doc_id, person_id, CASE WHEN al = 1 THEN 0.95::DOUBLE ELSE 1.0 END AS confidence, CASE WHEN al = 1 THEN 'alias' ELSE 'exact' END AS match_type, name_key AS matched_name
+ FROM cm JOIN nm ON name_key = {sql_normalise('text')} WHERE length({sql_normalise('text')}) >= 3
+ UNION ALL SELECT doc_id, best.p, CASE WHEN ratio >= 0.95 THEN 0.85::DOUBLE ELSE 0.75 END, 'fuzzy', best.m FROM cm JOIN fz ON fz.name_key = {sql_normalise('text')} WHERE length(fz.name_key) >= 3""")
 def mention_confidence(spark, sf):
     return entities.score_mentions(_mentioned(spark, sf), _names(spark, sf)).select("doc_id", "person_id", "confidence", "match_type", "matched_name")
 
@@ -318,58 +353,65 @@ def comparable_titles(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", title.alias("title")).filter(dedup.comparable_title(F.col("title")))
 
 
-_BLOCK_SQL = """b AS (SELECT p_partkey, lower(p_name) AS n, substr(lower(p_name), 1, 6) || '_' || length(p_name) // 5 AS coarse FROM part),
- z AS (SELECT *, count(*) OVER (PARTITION BY coarse) AS sz FROM b),
- bl AS (SELECT p_partkey, n, CASE WHEN sz > 60 THEN '+' || substr(n, 1, 10) || '_' || length(n) // 3 ELSE coarse END AS block FROM z)"""
-
-
-@query(f"WITH {_BLOCK_SQL} SELECT p_partkey, block FROM bl")
+@query("SELECT p_partkey, substr(lower(p_name), 1, 6) AS block FROM part")
 def title_blocks(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("title"))
-    return dedup.title_blocks(p, cap=60).select("p_partkey", "block")
+    return table(spark, sf, "part").select("p_partkey", dedup.title_block(F.col("p_name")).alias("block"))
 
 
-@query(f"""WITH {_BLOCK_SQL.replace('sz > 60', 'sz > 500')}, g AS (SELECT block, n, min(p_partkey) AS id_1 FROM bl GROUP BY ALL)
- SELECT id_1, p_partkey AS id_2, 1.0::DOUBLE AS score FROM bl JOIN g USING (block, n) WHERE p_partkey <> id_1""")
+@query("""WITH g AS (SELECT lower(p_name) AS n, min(p_partkey) AS id_1 FROM part GROUP BY ALL)
+ SELECT id_1, p_partkey AS id_2, 1.0::DOUBLE AS score FROM part JOIN g ON n = lower(p_name) WHERE p_partkey <> id_1""")
 def title_links_equal(spark, sf):
     """Equal titles only (threshold 1): a star per title."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
     return dedup.title_links(p, threshold=1.0)
 
 
-@query()
+_TITLES_SQL = f"""tt AS (SELECT doc_id AS id, lower({sql_strip(TITLE)}) AS v FROM documents WHERE {sql_strip(TITLE)} <> '' AND NOT regexp_matches({sql_strip(TITLE)}, '^[A-Za-z]{{1,10}}[-_]?[0-9]{{3,}}$')),
+ th AS (SELECT v, min(id) AS id FROM tt GROUP BY 1),
+ tc AS (SELECT a.id AS id_1, b.id AS id_2, a.v AS x, b.v AS y FROM th a JOIN th b ON a.id < b.id AND substr(a.v, 1, 6) = substr(b.v, 1, 6) AND {sql_near('a.v', 'b.v', 0.9)}),
+ {sql_indel('tc', 'ti')},
+ tl AS (SELECT th.id AS id_1, tt.id AS id_2, 1.0::DOUBLE AS score FROM tt JOIN th USING (v) WHERE tt.id <> th.id
+  UNION ALL SELECT id_1, id_2, round(ratio, 4) FROM ti WHERE ratio >= 0.9)"""
+
+
+@query(f"WITH RECURSIVE {_TITLES_SQL} SELECT * FROM tl")
 def title_links(spark, sf):
-    """Near-equal document titles; compared with brute force in the tests."""
+    """Near-equal document titles."""
     return dedup.title_links(dedup.dedup_records(titled(spark, sf)))
 
 
-@query()
-def duplicate_links(spark, sf):
-    """All signals with precedence: document bodies, order ranges and titles of the same ids."""
+_SIGNALS_SQL = f"""d AS (SELECT doc_id AS id, sha256({sql_normalise('text')}) AS hash FROM documents WHERE {sql_strip('text')} <> '' AND {TITLE} <> ''),
+ h AS (SELECT g.id_1, d.id AS id_2, 1 AS sig, 1.0::DOUBLE AS score FROM d JOIN (SELECT hash, min(id) AS id_1 FROM d GROUP BY 1) g USING (hash) WHERE d.id <> id_1),
+ {RANGES}, rd AS (SELECT r.* FROM ranges r JOIN documents ON documents.doc_id = r.doc_id WHERE {TITLE} <> ''),
+ o AS (SELECT *, max({{'hi': hi, 'id': doc_id}}) OVER (PARTITION BY prefix ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM rd),
+ r AS (SELECT least(doc_id, m.id) AS id_1, greatest(doc_id, m.id) AS id_2, 2 AS sig, 0.95::DOUBLE AS score FROM o WHERE m.hi >= lo)"""
+_BEST_SQL = "SELECT id_1, id_2, min(sig) AS signal, arg_min(score, sig) AS score FROM u GROUP BY ALL"
+
+
+def _dedup_records(spark, sf):
     r = number_ranges(spark, sf).withColumnRenamed("doc_id", "id")
     d = dedup.dedup_records(titled(spark, sf)).drop("number_range")
-    return dedup.duplicate_links(d.join(r, "id", "left").select("id", "title", "number_range", "content_hash"))
+    return d.join(r, "id", "left").select("id", "title", "number_range", "content_hash")
 
 
-@query(f"""WITH d AS (SELECT doc_id AS id, sha256({sql_normalise('text')}) AS hash FROM documents WHERE {sql_strip('text')} <> '' AND {TITLE} <> ''),
- h AS (SELECT g.id_1, d.id AS id_2, 1 AS sig, 1.0 AS score FROM d JOIN (SELECT hash, min(id) AS id_1 FROM d GROUP BY 1) g USING (hash) WHERE d.id <> id_1),
- {RANGES}, rd AS (SELECT r.* FROM ranges r JOIN documents ON documents.doc_id = r.doc_id WHERE {TITLE} <> ''),
- o AS (SELECT *, max({{'hi': hi, 'id': doc_id}}) OVER (PARTITION BY prefix ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM rd),
- r AS (SELECT least(doc_id, m.id) AS id_1, greatest(doc_id, m.id) AS id_2, 2 AS sig, 0.95 AS score FROM o WHERE m.hi >= lo),
- u AS (SELECT * FROM h UNION ALL SELECT * FROM r) SELECT id_1, id_2, min(sig) AS signal, CAST(arg_min(score, sig) AS DOUBLE) AS score FROM u GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {_TITLES_SQL}, {_SIGNALS_SQL}, u AS (SELECT * FROM h UNION ALL SELECT * FROM r UNION ALL SELECT id_1, id_2, 3, score FROM tl),
+ b AS ({_BEST_SQL}) SELECT *, ['exact content hash match', 'number range overlap', 'title similarity'][signal] AS reason FROM b""")
+def duplicate_links(spark, sf):
+    """All signals with precedence: document bodies, order ranges and titles of the same ids."""
+    return dedup.duplicate_links(_dedup_records(spark, sf))
+
+
+@query(f"WITH {_SIGNALS_SQL}, u AS (SELECT * FROM h UNION ALL SELECT * FROM r) {_BEST_SQL}")
 def duplicate_links_certain(spark, sf):
     """Hash and range signals with precedence."""
-    r = number_ranges(spark, sf).withColumnRenamed("doc_id", "id")
-    d = dedup.dedup_records(titled(spark, sf)).drop("number_range")
-    recs = d.join(r, "id", "left").select("id", "title", "number_range", "content_hash")
-    links = dedup.duplicate_links(recs)
-    return links.filter("signal < 3").drop("reason")
+    return dedup.duplicate_links(_dedup_records(spark, sf), threshold=None).drop("reason")
 
 
-@query(f"""WITH h AS (SELECT doc_id, sha256({sql_normalise('text')}) AS hash FROM documents WHERE {sql_strip('text')} <> '' AND {TITLE} <> ''),
- g AS (SELECT hash, min(doc_id) AS id_1 FROM h GROUP BY 1) SELECT id_1, doc_id AS id_2, 1.0::DOUBLE AS score FROM h JOIN g USING (hash) WHERE doc_id <> id_1 ORDER BY 3 DESC, 1, 2 LIMIT 25""")
+@query(f"""WITH {_SIGNALS_SQL}, u AS (SELECT * FROM h UNION ALL SELECT * FROM r), b AS ({_BEST_SQL})
+ SELECT * FROM b ORDER BY score DESC, id_1, id_2 LIMIT 400""")
 def duplicate_report(spark, sf):
-    return dedup.ranked_report(dedup.hash_links(dedup.dedup_records(titled(spark, sf)))).limit(25)
+    """The first 400 lines of the report, by score: copies, then overlapping ranges."""
+    return dedup.ranked_report(dedup.duplicate_links(_dedup_records(spark, sf), threshold=None).drop("reason")).limit(400)
 
 
 # --- graphs -----------------------------------------------------------------------------------
@@ -425,7 +467,7 @@ def graph_counts(spark, sf):
 
 
 @query(f"""WITH {LINKS}, n AS (SELECT person_id FROM links GROUP BY 1 ORDER BY count(*) DESC, person_id LIMIT 60),
- t AS (SELECT * FROM ({_PAIRS}) ORDER BY n DESC, source, target LIMIT 500) SELECT source, target, CAST(n AS DOUBLE) AS weight FROM t WHERE source IN (FROM n) AND target IN (FROM n)""")
+ t AS (SELECT * FROM ({_PAIRS}) WHERE source IN (FROM n) AND target IN (FROM n)) SELECT source, target, CAST(n AS DOUBLE) AS weight FROM t ORDER BY weight DESC, source, target LIMIT 500""")
 def registry_graph(spark, sf):
     return graph.registry_graph_edges(persons(spark, sf), document_persons(spark, sf), limit=60)
 
@@ -446,7 +488,7 @@ def mention_pairs(spark, sf):
     return graph.mention_edges(mentions(spark, sf))
 
 
-@query(f"""WITH {MENTIONS}, {_NODE_SQL}, {_MEDGE_SQL}, t AS (SELECT * FROM me ORDER BY weight DESC, source, target LIMIT 400)
- SELECT * FROM t WHERE source IN (SELECT id FROM nd) AND target IN (SELECT id FROM nd)""")
+@query(f"""WITH {MENTIONS}, {_NODE_SQL}, {_MEDGE_SQL}
+ SELECT * FROM me WHERE source IN (SELECT id FROM nd) AND target IN (SELECT id FROM nd) ORDER BY weight DESC, source, target LIMIT 400""")
 def mention_graph(spark, sf):
     return graph.mention_graph_edges(mentions(spark, sf))

@@ -316,12 +316,12 @@ def _project_sql(cut: str) -> str:
 
 @query(_project_sql("WHERE rn <= 100"))
 def project_entities(spark, sf):
-    return stats.project_entities(mentions(spark, sf, keep=["source"]), dataset="source")
+    return stats.project_entities(mentions(spark, sf, keep=["source"]), dataset="source", per_dataset=100)
 
 
 @query(_project_sql(""))
 def project_entities_exact(spark, sf):
-    return stats.project_entities(mentions(spark, sf, keep=["source"]), dataset="source", per_dataset=None)
+    return stats.project_entities(mentions(spark, sf, keep=["source"]), dataset="source")
 
 
 @query()

@@ -11,7 +11,8 @@ KEY = ["file_hash", "stage"]
 def mark(ledger: DataFrame, marks: DataFrame) -> DataFrame:
     """Ledger with ``marks(file_hash, stage, result_path, completed_at)`` applied."""
     both = ledger.unionByName(marks)
-    newest = F.max_by(F.struct("result_path", "completed_at"), "completed_at")
+    # of marks with one time, the one with the larger path
+    newest = F.max_by(F.struct("result_path", "completed_at"), F.struct("completed_at", "result_path"))
     return both.groupBy(*KEY).agg(newest.alias("_r")).select(*KEY, "_r.*")
 
 

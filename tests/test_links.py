@@ -78,35 +78,39 @@ def test_similar_pairs_refuses_low_thresholds(spark):
         similar_pairs(df, df, threshold=0.5)
 
 
-@pytest.mark.parametrize("cap", [500, 3])
-def test_title_links_equal_brute_force_in_blocks(spark, cap):
+def test_title_links_equal_brute_force_in_blocks(spark):
     titles = strings(11, 90) + ["Memo", "memo ", "DOC-00123", "ABC123", "abcdef", "abcdefg", "abcdefgh", "abcdexgh"] + ["annual report of the board"] * 3
     recs = [(i, t, None, None) for i, t in enumerate(titles)]
     df = spark.createDataFrame(recs, "id int, title string, number_range string, content_hash string")
-    got = {(r["id_1"], r["id_2"]): r["score"] for r in dedup.title_links(df, cap=cap).collect()}
+    got = {(r["id_1"], r["id_2"]): r["score"] for r in dedup.title_links(df).collect()}
     import re
 
     kept = {i: t.strip().lower() for i, t in enumerate(titles) if t.strip() and not re.match(r"^[A-Za-z]{1,10}[-_]?\d{3,}$", t.strip())}
-    coarse = {i: (t[:6], len(t) // 5) for i, t in kept.items()}
-    size = {}
-    for k in coarse.values():
-        size[k] = size.get(k, 0) + 1
-    block = {i: k if size[k] <= cap else ("+", kept[i][:10], len(kept[i]) // 3) for i, k in coarse.items()}
     rep = {}
     for i in sorted(kept):
-        rep.setdefault((block[i], kept[i]), i)
-    want = {}
-    for i in kept:
-        first = rep[block[i], kept[i]]
-        if first != i:
-            want[first, i] = 1.0
-    heads = sorted(rep.values())
-    for i, j in itertools.combinations(heads, 2):
-        if block[i] == block[j] and indel(kept[i], kept[j]) >= 0.9:
+        rep.setdefault(kept[i], i)
+    want = {(rep[t], i): 1.0 for i, t in kept.items() if rep[t] != i}
+    for i, j in itertools.combinations(sorted(rep.values()), 2):
+        if kept[i][:6] == kept[j][:6] and indel(kept[i], kept[j]) >= 0.9:
             want[i, j] = round(indel(kept[i], kept[j]), 4)
     assert got == want
 
 
+def test_title_links_do_not_depend_on_other_titles(spark):
+    pair = [(1, "report on the annual budget of the northern office"), (2, "report on the annual budgets of the northern office")]
+    crowd = [(i, f"report number {i} of another {i % 7} kind") for i in range(10, 610)]
+    schema = "id int, title string"
+    alone, among = (dedup.title_links(spark.createDataFrame(rows, schema)) for rows in (pair, pair + crowd))
+    assert [tuple(r) for r in alone.collect()] == [tuple(r) for r in among.filter("id_1 = 1").collect()] != []
+
+
+def test_star_of_one_hot_group(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).alias("content_hash"))
+    links = dedup.hash_links(df)
+    # id 0 has the hot value too
+    assert links.count() == 2700 and links.filter("id_1 = 0").select("id_2").distinct().count() == 2700
+
+
 def test_ranges(spark):
     rng, data = random.Random(5), []
     for i in range(150):

@@ -218,8 +218,9 @@ def test_vector_topk_equals_brute_force(spark):
         sims = sorted(((-sum(a * b for a, b in zip(qv, v)), i) for i, v in vecs))
         want |= {(qid, n + 1): i for n, (s, i) in enumerate(sims[:5]) if -s >= 0.2}
     assert got == want
-    with pytest.raises(ValueError):
-        vectors.vector_topk(q, df, max_queries=3)
+    sliced = vectors.vector_topk(q, df, k=5, min_similarity=0.2, query_slice=3).collect()
+    assert {(r.query_id, r.rank_no): r.vec_id for r in sliced} == want
+    assert vectors.vector_topk(q.limit(0), df).count() == 0
 
 
 def test_embedding_jobs(spark):
