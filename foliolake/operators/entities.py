@@ -14,7 +14,6 @@ from ..functions.text import normalise
 from .similar import similar_pairs
 
 GRAM = 3
-MAX_BROADCAST_NAMES = 200_000
 
 
 # --- mentions ---------------------------------------------------------------------------------
@@ -151,31 +150,23 @@ def link_confidence(signals: Mapping[str, Column]) -> Column:
     return F.least(total, F.lit(1.0))
 
 
-def direct_scan(docs: DataFrame, names: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: int = 8,
-                broadcast_names: int = MAX_BROADCAST_NAMES) -> DataFrame:
+def direct_scan(docs: DataFrame, names: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: int = 8) -> DataFrame:
     """``(doc_id, person_id, name_key)`` for each name (3+ characters) that is a substring of a text, ignoring case.
 
     A text that holds a name holds each piece of it, so one piece per name (its rarest) finds the
     candidates by an equi-join and ``contains`` confirms them.  Names shorter than ``gram`` use
-    pieces of three.  All grams of a text come from one look-ahead regex, in linear time.
-
-    A registry of at most ``broadcast_names`` names is counted and then sent to every task, so texts
-    never move.  A larger one is joined by shuffling grams without their texts; texts come back by id.
+    pieces of three.  All grams of a text come from one look-ahead regex, in linear time; they travel
+    without the text, which meets only the candidates, by id.
     """
     low = docs.select(doc_id, F.lower(text).alias("_low"))
     keep = names.filter(F.length("name_key") >= GRAM).select("name_key", "person_id")
-    small = keep.limit(broadcast_names + 1).count() <= broadcast_names
-    found = None
+    candidates = None
     for size, part in ((gram, keep.filter(F.length("name_key") >= gram)), (GRAM, keep.filter(F.length("name_key") < gram))):
-        anchors = _rarest_pieces(part, size)
-        pieces = F.explode(F.array_distinct(F.regexp_extract_all("_low", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))).alias("piece")
-        if small:
-            held = low.select(doc_id, "_low", pieces).join(F.broadcast(anchors), "piece")
-        else:
-            held = low.select(doc_id, pieces).join(anchors, "piece").drop("piece").join(low, doc_id)
-        hits = held.filter(F.contains("_low", "name_key")).select(doc_id, "person_id", "name_key")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+        grams = F.array_distinct(F.regexp_extract_all("_low", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+        pieces = low.select(doc_id, F.explode(grams).alias("piece"))
+        near = pieces.join(_rarest_pieces(part, size), "piece").select(doc_id, "person_id", "name_key")
+        candidates = near if candidates is None else candidates.unionByName(near)
+    return candidates.join(low, doc_id).filter(F.contains("_low", "name_key")).select(doc_id, "person_id", "name_key")
 
 
 def _rarest_pieces(names: DataFrame, size: int) -> DataFrame:

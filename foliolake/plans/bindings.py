@@ -16,25 +16,17 @@ ENTITY_TYPES = ["PERSON", "ORG", "GPE", "LOC", "DATE"]
 CAPITALISED = r"\p{Lu}\p{Ll}+"
 
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small input that sits in one row group is dealt out to all cores before heavy text work.
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as the scan deals them out; dealt anew only where the session asks for a number of partitions.
 
-    The size is what the optimizer knows from the file listing.  Inputs above the limit keep their
-    scan partitions: at scale the text of a table is never shuffled for this.
+    ``spark.foliolake.scanPartitions`` is for small files of one row group, which no reader setting can split.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT_BYTES else df
-
-
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    docs, parts = table(spark, sf, "documents"), spark.conf.get("spark.foliolake.scanPartitions", None)
+    return docs.repartition(int(parts)) if parts else docs
 
 
 def titled(spark: SparkSession, sf: str) -> DataFrame:

@@ -61,19 +61,19 @@ def index_postings(spark, sf):
     return postings.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
 
 
-_CORPORA_SQL = f"""{PAGES}, units AS (SELECT 'pages' AS corpus, doc_id * 1000 + page_number AS u, text_content AS t FROM doc_pages
- UNION ALL SELECT 'transcripts', conv_id * 1000 + turn, text FROM conversations
- UNION ALL SELECT 'captions', l_orderkey * 10 + l_linenumber, l_returnflag || l_linestatus || ' ' || CAST(l_suppkey AS VARCHAR) FROM lineitem
- UNION ALL SELECT 'images', p_partkey, p_name || ' ' || p_type FROM part)"""
+_CORPORA_SQL = f"""{PAGES}, units AS (SELECT 'pages' AS corpus, doc_id || '-' || page_number AS u, text_content AS t FROM doc_pages
+ UNION ALL SELECT 'transcripts', conv_id || '-' || turn, text FROM conversations
+ UNION ALL SELECT 'captions', l_orderkey || '-' || l_linenumber, l_returnflag || l_linestatus || ' ' || CAST(l_suppkey AS VARCHAR) FROM lineitem
+ UNION ALL SELECT 'images', CAST(p_partkey AS VARCHAR), p_name || ' ' || p_type FROM part)"""
 
 
 def _corpora(spark, sf):
     """The four searchable corpora as ``(corpus, u, t)``; captions join their two columns."""
-    p = pages(spark, sf).select(F.lit("pages").alias("corpus"), (F.col("doc_id") * 1000 + F.col("page_number")).alias("u"), F.col("text_content").alias("t"))
-    c = table(spark, sf, "conversations").select(F.lit("transcripts").alias("corpus"), (F.col("conv_id") * 1000 + F.col("turn")).alias("u"), F.col("text").alias("t"))
-    li = table(spark, sf, "lineitem").select(F.lit("captions").alias("corpus"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("u"),
+    p = pages(spark, sf).select(F.lit("pages").alias("corpus"), F.concat_ws("-", "doc_id", "page_number").alias("u"), F.col("text_content").alias("t"))
+    c = table(spark, sf, "conversations").select(F.lit("transcripts").alias("corpus"), F.concat_ws("-", "conv_id", "turn").alias("u"), F.col("text").alias("t"))
+    li = table(spark, sf, "lineitem").select(F.lit("captions").alias("corpus"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("u"),
                                              F.concat("l_returnflag", "l_linestatus", F.lit(" "), F.col("l_suppkey").cast("string")).alias("t"))
-    i = table(spark, sf, "part").select(F.lit("images").alias("corpus"), F.col("p_partkey").alias("u"), F.concat_ws(" ", "p_name", "p_type").alias("t"))
+    i = table(spark, sf, "part").select(F.lit("images").alias("corpus"), F.col("p_partkey").cast("string").alias("u"), F.concat_ws(" ", "p_name", "p_type").alias("t"))
     return p.unionByName(c).unionByName(li).unionByName(i)
 
 
@@ -152,7 +152,7 @@ def match_windows(spark, sf):
 
 # --- questions --------------------------------------------------------------------------------
 
-_QUESTIONS_SQL = f"""qs AS (SELECT conv_id * 1000 + turn AS question_id, text, {sql_tokens('text')} AS tk FROM conversations WHERE role = 'user'),
+_QUESTIONS_SQL = f"""qs AS (SELECT conv_id || '-' || turn AS question_id, text, {sql_tokens('text')} AS tk FROM conversations WHERE role = 'user'),
  lw AS (SELECT question_id, tk, list_transform(list_sort(list_transform(list_distinct(tk), lambda t: {{'l': -length(t), 't': t}})), lambda s: s.t)[1:3] AS longest FROM qs),
  qt AS (SELECT question_id, 0 AS query_no, unnest(list_distinct(tk[1:2])) AS term FROM lw
   UNION ALL SELECT question_id, CAST(generate_subscripts(longest, 1) AS INTEGER), unnest(longest) FROM lw)"""
@@ -160,7 +160,7 @@ _QUESTIONS_SQL = f"""qs AS (SELECT conv_id * 1000 + turn AS question_id, text, {
 
 def _questions(spark, sf):
     c = table(spark, sf, "conversations").filter("role = 'user'")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
 
 
 def _planned(spark, sf):
@@ -257,7 +257,7 @@ def answer_reports(spark, sf):
     return rep.select("question_id", "found", F.md5("report").alias("report_md5"))
 
 
-_NAMED_SQL = f"""q AS (SELECT conv_id * 1000 + turn AS question_id, 'see efta' || lpad(CAST(conv_id * 7 AS VARCHAR), 8, '0') || ', EML-' || lpad(CAST(turn AS VARCHAR), 8, 'a') || ' and ' || text AS question FROM conversations WHERE role = 'user'),
+_NAMED_SQL = f"""q AS (SELECT conv_id || '-' || turn AS question_id, 'see efta' || lpad(CAST(conv_id * 7 AS VARCHAR), 8, '0') || ', EML-' || lpad(CAST(turn AS VARCHAR), 8, 'a') || ' and ' || text AS question FROM conversations WHERE role = 'user'),
  nm AS (SELECT question_id, upper(unnest(regexp_extract_all(question, '(?i)\\bEFTA[0-9]{{8}}\\b'))) AS id FROM q UNION SELECT question_id, lower(unnest(regexp_extract_all(question, '(?i)\\beml-[0-9a-f]{{8,12}}\\b'))) FROM q)"""
 
 
@@ -268,7 +268,7 @@ _NAMED_SQL = f"""q AS (SELECT conv_id * 1000 + turn AS question_id, 'see efta' |
  SELECT question_id, doc_id, page_number, title, snippet FROM o WHERE n <= 5""")
 def overview_pages(spark, sf):
     q = table(spark, sf, "conversations").filter("role = 'user'").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
+        F.concat_ws("-", "conv_id", "turn").alias("question_id"),
         F.concat(F.lit("see efta"), F.lpad((F.col("conv_id") * 7).cast("string"), 8, "0"), F.lit(", EML-"),
                  F.lpad(F.col("turn").cast("string"), 8, "a"), F.lit(" and "), "text").alias("question"))
     stamp = F.concat(F.lit("EFTA"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
@@ -279,10 +279,10 @@ def overview_pages(spark, sf):
 
 @query(f"""WITH {PAGES}, {_NAMED_SQL}, d AS (SELECT doc_id, 'EFTA' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS title FROM documents)
  SELECT question_id, p.doc_id, p.page_number, -1 AS band FROM nm JOIN d ON d.title = nm.id JOIN doc_pages p ON p.doc_id = d.doc_id WHERE p.page_number <= 5 AND p.page_number <> 2
- UNION ALL SELECT question_id, conv_id * 7, 2, 0 FROM (SELECT conv_id * 1000 + turn AS question_id, conv_id FROM conversations WHERE role = 'user')""")
+ UNION ALL SELECT question_id, conv_id * 7, 2, 0 FROM (SELECT conv_id || '-' || turn AS question_id, conv_id FROM conversations WHERE role = 'user')""")
 def overview_prepended(spark, sf):
     """Named documents ahead of the results, pages already found left out."""
-    c = table(spark, sf, "conversations").filter("role = 'user'").withColumn("question_id", F.col("conv_id") * 1000 + F.col("turn"))
+    c = table(spark, sf, "conversations").filter("role = 'user'").withColumn("question_id", F.concat_ws("-", "conv_id", "turn"))
     q = c.select("question_id", F.concat(F.lit("see efta"), F.lpad((F.col("conv_id") * 7).cast("string"), 8, "0")).alias("question"))
     results = c.select("question_id", (F.col("conv_id") * 7).alias("doc_id"), F.lit(2).alias("page_number"))
     docs = documents(spark, sf).select("doc_id", F.concat(F.lit("EFTA"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("title"))

@@ -23,6 +23,7 @@ def local_session(app: str = "foliolake", cores: str = "*", shuffle_partitions:
         .appName(app)
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.foliolake.scanPartitions", str(shuffle_partitions))
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)

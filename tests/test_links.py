@@ -222,16 +222,23 @@ def test_match_confidence_tiers(spark):
     assert got == {1: (1.0, "exact"), 2: (0.95, "alias"), 3: (0.85, "fuzzy")}
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_direct_scan_both_ways(spark, limit):
+def test_direct_scan(spark):
     docs = spark.createDataFrame([(1, "We met ROBERT SMITH and Jonah."), (2, "Li and lee ann-marieX"), (3, None), (4, "rob ann leexy")], "doc_id int, text string")
     names = registry(spark)
-    got = {(r[0], r[2]) for r in entities.direct_scan(docs, names, broadcast_names=limit).collect()}
+    got = {(r[0], r[2]) for r in entities.direct_scan(docs, names).collect()}
     keys = [r["name_key"] for r in names.collect() if len(r["name_key"]) >= 3]
     texts = {1: "we met robert smith and jonah.", 2: "li and lee ann-mariex", 4: "rob ann leexy"}
     assert got == {(d, k) for d, t in texts.items() for k in keys if k in t}
 
 
+def test_direct_scan_does_not_carry_texts(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id int, text string")
+    plan = entities.direct_scan(docs, registry(spark))._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.split("\n") if "Generate explode(array_distinct(regexp_extract_all(_low" in line]
+    # the list behind the generator names the input columns that are dropped: the second is the text
+    assert len(made) == 2 and all("), [1], false, [piece" in line for line in made)
+
+
 def test_link_confidence_caps_at_one(spark):
     every = {k: F.lit(True) for k in ["ner_match", "direct_scan", "title_mention", "bates_match", "metadata_match"]}
     row = spark.range(1).select(entities.link_confidence(every), entities.link_confidence({"bates_match": F.lit(True), "x": F.lit(True)})).collect()[0]
