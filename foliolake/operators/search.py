@@ -20,6 +20,8 @@ from ..functions.once import once
 from ..functions.text import ACCENTED, SPACE_RUN, UNACCENTED, WORD, as_column, fold, strip, token_count, tokens
 
 LETTER = r"[\p{L}\p{N}]"
+#: Folders that the postings of a store are split into by a hash of the term, and the column that names them.
+TERM_BUCKETS, BUCKET = 64, "term_bucket"
 
 
 # --- index ------------------------------------------------------------------------------------
@@ -113,6 +115,26 @@ def search_text(units: DataFrame, text: str, terms: Sequence[str], *, mode: str
     return hits.withColumn("rank", rank).drop("_n", "_stats", *[f"_tf{i}" for i in range(len(terms))])
 
 
+def in_buckets(postings: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
+    """Postings with the bucket of their term, which a store turns into folders."""
+    return postings.withColumn(BUCKET, _bucket(F.col("term"), buckets))
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def only_terms(postings: DataFrame, terms: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
+    """Of stored postings, the buckets that hold any of ``terms(term)``; others are not read.
+
+    The driver learns bucket numbers, at most ``buckets`` of them.  Postings without buckets stay whole.
+    """
+    if BUCKET not in postings.columns:
+        return postings
+    held = [r[0] for r in terms.select(_bucket(F.col("term"), buckets)).distinct().collect()]
+    return postings.filter(F.col(BUCKET).isin(held)).drop(BUCKET)
+
+
 def vocabulary(postings: DataFrame) -> DataFrame:
     """``(term, df)``: how many units hold a term; part of a stored index."""
     return postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -125,10 +147,12 @@ def search(postings: DataFrame, doclens: DataFrame, query_terms: DataFrame, unit
     Each query enters through its rarest term only; its other terms are looked up by (term, unit),
     a unique key.  A very common word therefore costs as much as the rarest word beside it, and no
     matching unit is lost.  ``query_terms`` holds one row per (query, folded term); ``terms`` is the
-    stored ``vocabulary``, counted from the postings when not given.
+    stored ``vocabulary``, counted from the postings when not given.  Of postings stored in buckets
+    only those of the wanted terms are read.
     """
     unit, query = list(unit), list(query)
     wanted = query_terms.select(*query, "term").distinct()
+    postings = only_terms(postings, wanted)
     if terms is None:
         terms = vocabulary(postings.select("term").join(wanted.select("term").distinct(), "term", "left_semi"))
     known = wanted.join(terms, "term", "left")
@@ -207,6 +231,8 @@ def match_units(postings: DataFrame, unit: Sequence[str], *, all_of: Sequence[st
     verdict = checks[0]
     for c in checks[1:]:
         verdict = verdict & c
+    if BUCKET in postings.columns and exact and not prefix:
+        postings = only_terms(postings, postings.sparkSession.createDataFrame([(t,) for t in exact], "term string"))
     return postings.filter(keep).groupBy(*unit).agg(verdict.alias("_ok")).filter("_ok").drop("_ok")
 
 

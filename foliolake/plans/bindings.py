@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.text import ACCENTED, UNACCENTED, first_line_title
 from ..operators.paging import paginate
-from ..operators.search import build_index, vocabulary
+from ..operators.search import BUCKET, build_index, in_buckets, vocabulary
 from ..session import work_folder
 from ..sources.store import write_store
 
@@ -43,15 +43,16 @@ _STORES: dict[tuple[str, str], str] = {}
 def case_store(spark: SparkSession, sf: str) -> str:
     """Folder of the stored pages and index of the documents, built once per session and data set.
 
-    Questions are asked of a store, not of raw text: pages are cut once, postings lie clustered by
-    term, and later queries read only the terms they name.
+    Questions are asked of a store, not of raw text: pages are cut once, postings lie in folders by a
+    hash of their term, and later queries read only the folders of the terms they name.
     """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORES:
         folder = work_folder(spark, "case")
         write_store({"pages": pages(spark, sf, keep=["lang", "source"])}, folder, cluster_by={"pages": ["doc_id", "page_number"]})
         postings, doclens = build_index(spark.read.parquet(f"{folder}/pages"), ["doc_id", "page_number"], "text_content")
-        write_store({"postings": postings, "doclens": doclens}, folder, cluster_by={"postings": ["term", "doc_id", "page_number"]})
+        write_store({"postings": in_buckets(postings), "doclens": doclens}, folder, cluster_by={"postings": ["term", "doc_id", "page_number"]},
+                    partition_by={"postings": BUCKET})
         write_store({"vocabulary": vocabulary(spark.read.parquet(f"{folder}/postings"))}, folder, cluster_by={"vocabulary": ["term"]})
         _STORES[key] = folder
     return _STORES[key]

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import questions, retrieval, search, unified, vectors
+from ..session import work_folder
+from ..sources.store import write_store
 from .bindings import BLANKS, PAGES, SPACES, TITLE, documents, lit, pages, sql_fold, sql_strip, sql_tokens, stored, table, titled
 from .registry import query
 
@@ -194,8 +196,11 @@ def _index(spark, sf):
 
 
 def _hits(spark, sf):
+    """The hits of all questions, written once: what builds on them reads at most 50 rows per question again."""
     postings, doclens = _index(spark, sf)
-    return questions.find_pages(postings, doclens, _planned(spark, sf), terms=stored(spark, sf, "vocabulary"))
+    folder = work_folder(spark, "hits")
+    write_store({"hits": questions.find_pages(postings, doclens, _planned(spark, sf), terms=stored(spark, sf, "vocabulary"))}, folder)
+    return spark.read.parquet(f"{folder}/hits")
 
 
 @query(f"WITH {_FOUND_SQL} SELECT question_id, doc_id, page_number, query_no, round(rank, 6) AS rank, CAST(ordinal AS INTEGER) AS ordinal FROM hits")

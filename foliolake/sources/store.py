@@ -26,16 +26,19 @@ def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key), key, "left_anti")
 
 
-def write_store(tables: Mapping[str, DataFrame], folder: str, *, cluster_by: Mapping[str, Sequence[str]] | None = None) -> None:
+def write_store(tables: Mapping[str, DataFrame], folder: str, *, cluster_by: Mapping[str, Sequence[str]] | None = None,
+                partition_by: Mapping[str, str] | None = None) -> None:
     """Full rebuild of the store: each table sorted by its lookup key inside its files.
 
     Range partitioning on (key, …) keeps file statistics tight for point lookups, and a hot key
-    still spreads when further columns follow it.
+    still spreads when further columns follow it.  A column in ``partition_by`` becomes folders that
+    a filter on it prunes; range partitioning in front of it keeps the number of files near that of tasks.
     """
     for name, df in tables.items():
-        order = list((cluster_by or {}).get(name, ()))
+        folders = [(partition_by or {})[name]] if name in (partition_by or {}) else []
+        order = [*folders, *(cluster_by or {}).get(name, ())]
         out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-        out.write.mode("overwrite").parquet(f"{folder}/{name}")
+        out.write.mode("overwrite").partitionBy(*folders).parquet(f"{folder}/{name}")
 
 
 def save_tables(tables: Mapping[str, DataFrame], database: str) -> None:

@@ -39,3 +39,14 @@ def test_row_limits_come_before_the_shuffle(spark):
 def test_top_lists_do_not_sort_everything(spark):
     for name in ("ranked_search", "paging", "entity_directory_page", "project_entities"):
         assert "TakeOrderedAndProject" in plan_of(entry.queries()[name](spark, SF)), name
+
+
+def test_stored_postings_are_pruned(spark):
+    plan = plan_of(entry.queries()["ranked_search_index"](spark, SF))
+    scans = [line for line in plan.split("\n") if "Scan parquet" in line and "term_bucket" in line]
+    assert scans and all("PartitionFilters: [term_bucket" in line or "term_bucket#" in line.split("PartitionFilters: [", 1)[1].split("]")[0] for line in scans)
+
+
+def test_evidence_reads_few_tables(spark):
+    plan = plan_of(entry.queries()["evidence_tables"](spark, SF))
+    assert "term_bucket" not in plan and plan.count("Scan parquet") <= 24
