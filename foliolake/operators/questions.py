@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import PAGE, first_occurrences, number_results, with_adjacent, with_siblings
+from .retrieval import PAGE, first_occurrences, fuse, number_results, prepend, with_adjacent, with_siblings
 from .search import match_window, search, snippet, top_k
 
 QUESTION = "question_id"
+#: Text list, vector list and overview pages of a question together.
+HYBRID_ROWS = 200
 
 
 def find_pages(postings: DataFrame, doclens: DataFrame, query_terms: DataFrame, *, terms: DataFrame | None = None,
@@ -53,3 +55,24 @@ def semantic_results(ranked: DataFrame, pages: DataFrame, documents: DataFrame,
     full = with_titles(ranked, pages, documents)
     headed = full.withColumn("snippet", F.substring("text_content", 1, 200)).withColumnRenamed("text_content", "text")
     return with_adjacent(headed, pages)
+
+
+def hybrid_results(text_results: DataFrame, near: DataFrame, pages: DataFrame, documents: DataFrame, *,
+                   overview: DataFrame | None = None) -> DataFrame:
+    """Text results (``full_results``) fused with vector hits ``(question_id, *page, rank_no)``, overview pages in front.
+
+    A page in the text list keeps that list's text with its window, neighbours and snippet; only pages
+    that vectors alone found get the page with its neighbours.  A question without vector hits keeps
+    its text list as it is.  ``ordinal`` numbers each question's rows from 1.
+    """
+    on = [QUESTION, *PAGE]
+    fused = fuse(text_results, near, keys=[QUESTION], left_rank="ordinal", right_rank="rank_no").select(
+        *on, "left_rank", "score", F.col("ordinal").alias("place"))
+    shown = ["title", "text", "snippet"]
+    kept = fused.filter("left_rank is not null").join(text_results.select(*on, *shown), on).select(*on, "place", "score", *shown)
+    added = semantic_results(fused.filter("left_rank is null"), pages, documents).select(*on, "place", "score", *shown)
+    results = kept.unionByName(added).withColumn("band", F.lit(0))
+    if overview is not None:
+        front = overview.join(results.select(*on), on, "left_anti")
+        results = prepend(front.select(*on, *shown), results)
+    return number_results(results.withColumnRenamed("place", "ordinal"), total=HYBRID_ROWS)

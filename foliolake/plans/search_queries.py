@@ -165,9 +165,9 @@ def _questions(spark, sf):
     return c.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
 
 
-def _planned(spark, sf):
+def _planned(spark, sf, asked=None):
     """Stand-in for a query planner: query 0 is the first two words, queries 1-3 the longest words of the question."""
-    t = _questions(spark, sf).select("question_id", tokens("question").alias("tk"))
+    t = (_questions(spark, sf) if asked is None else asked).select("question_id", tokens("question").alias("tk"))
     by_length = F.array_sort(F.transform(F.array_distinct("tk"), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
     longest = F.transform(F.slice(by_length, 1, 3), lambda s: s["w"])
     first = t.select("question_id", F.lit(0).alias("query_no"), F.explode(F.array_distinct(F.slice("tk", 1, 2))).alias("term"))
@@ -402,18 +402,21 @@ def rank_fusion(spark, sf):
 
 @query()
 def hybrid_evidence(spark, sf):
-    """Questions end to end: text hits fused with page-vector hits (hashing encoder), capped, as evidence."""
-    encoder = vectors.hashing_encoder(64)
-    page_vectors = vectors.embed_pages(stored(spark, sf, "pages"), encoder)
-    # questions arrive in slices no larger than the query matrix may be
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
-    asked_vectors = vectors.encode(asked, "text", encoder)
-    near = vectors.vector_topk(asked_vectors, page_vectors, query_id="question_id", key=PAGE)
-    terms = asked.select("question_id", F.lit(0).alias("query_no"), F.explode(F.slice(F.array_distinct(tokens("text")), 1, 1)).alias("term"))
+    """Questions end to end: text hits fused with page-vector hits (hashing encoder), overview pages in front, as evidence."""
+    encoder, every = vectors.hashing_encoder(64), stored(spark, sf, "pages")
+    stamp = F.concat(F.lit("EFTA"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    docs = titled(spark, sf).select("doc_id", "title")
+    named = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.when(
+        F.pmod("item_id", F.lit(4)) == 0, F.concat("text", F.lit(" EFTA"), F.lpad(F.col("item_id").cast("string"), 8, "0"))).otherwise(F.col("text")).alias("question"))
+    asked = named.select("question_id", "question")
+    near = vectors.vector_topk(vectors.encode(asked, "question", encoder), vectors.embed_pages(every, encoder), query_id="question_id", key=PAGE)
+    plan = _planned(spark, sf, asked)
     postings, doclens = _index(spark, sf)
-    text_hits = questions.find_pages(postings, doclens, terms, terms=stored(spark, sf, "vocabulary"))
-    fused = retrieval.fuse(text_hits, near, keys=["question_id"], left_rank="ordinal", right_rank="rank_no")
-    full = questions.semantic_results(fused, stored(spark, sf, "pages"), titled(spark, sf))
+    folder = work_folder(spark, "hybrid")
+    write_store({"hits": questions.find_pages(postings, doclens, plan, terms=stored(spark, sf, "vocabulary")), "near": near}, folder)
+    text = questions.full_results(spark.read.parquet(f"{folder}/hits"), plan, every, docs)
+    overview = retrieval.overview_pages(retrieval.named_documents(asked), docs.withColumn("title", stamp), every)
+    full = questions.hybrid_results(text, spark.read.parquet(f"{folder}/near"), every, docs, overview=overview)
     return retrieval.evidence_text(retrieval.cap_per_document(full)).select("question_id", F.md5("evidence").alias("evidence_md5"), "n_pages")
 
 

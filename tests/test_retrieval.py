@@ -205,6 +205,28 @@ def test_unified_and_dated_search(spark):
     assert {r.doc_id for r in dated} == {2}
 
 
+def test_hybrid_results(spark):
+    from foliolake.operators import questions
+
+    text = spark.createDataFrame([(1, 10, 1, 1, "window of ten", "snip ten", "Ten", 0), (1, 11, 1, 2, "window of eleven", "snip eleven", "Eleven", 0),
+                                  (2, 11, 1, 1, "only text", "snip", "Eleven", 0)],
+                                 "question_id int, doc_id int, page_number int, ordinal int, text string, snippet string, title string, band int")
+    near = spark.createDataFrame([(1, 11, 1, 1), (1, 12, 1, 2)], "question_id int, doc_id int, page_number int, rank_no int")
+    every = spark.createDataFrame([(d, 1, f"bare page of {d}") for d in (10, 11, 12, 13)], "doc_id int, page_number int, text_content string")
+    docs = spark.createDataFrame([(d, f"T{d}") for d in (10, 11, 12, 13)], "doc_id int, title string")
+    front = spark.createDataFrame([(1, 13, 1, "T13", "opening", "open"), (1, 10, 1, "T10", "known already", "x")],
+                                  "question_id int, doc_id int, page_number int, title string, text string, snippet string")
+    rows = questions.hybrid_results(text, near, every, docs, overview=front).orderBy("question_id", "ordinal").collect()
+    got = [(r["question_id"], r["ordinal"], r["doc_id"], r["text"], r["snippet"], r["title"]) for r in rows]
+    assert got == [
+        (1, 1, 13, "opening", "open", "T13"),  # overview first, less what was found anyway
+        (1, 2, 11, "window of eleven", "snip eleven", "Eleven"),  # in both lists: the text list's words
+        (1, 3, 10, "window of ten", "snip ten", "Ten"),
+        (1, 4, 12, "bare page of 12", "bare page of 12", "T12"),  # vectors alone
+        (2, 1, 11, "only text", "snip", "Eleven"),  # no vector hits: the text list as it is
+    ]
+
+
 def test_vector_topk_equals_brute_force(spark):
     rng = random.Random(3)
     vecs = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
