@@ -30,7 +30,8 @@ def one_of_each(docs: DataFrame, *, words: int = 5, radius: int = 12, similarity
     found = stored(simhash.near_duplicates(prints, radius=radius, similarity=similarity).select("doc_id", "component"), "found")
     found = found.where("doc_id is not null")
     copies = found.where("doc_id <> component").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    # hashed by id at every size: the ids of copies grow with the documents and must not be broadcast
+    kept = docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     repeated = stored(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
