@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import work_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,17 +34,8 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place that the cluster names in ``spark.checkpoint.dir``.
-
-    Where the setting is missing (tests), Spark's own warehouse folder serves.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    folder = shared_folder(df.sparkSession, name)
+    folder = f"{work_folder(df.sparkSession, name)}/rows"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

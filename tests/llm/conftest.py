@@ -8,7 +8,7 @@ AWKWARD = [
     (1, "Some plain words of a text. And another sentence here!", "en"),
     (1, "Some plain words of a text. And another sentence here!", "en"),
     (2, "", "en"), (3, None, None), (None, "no id but words are here", "de"), (None, None, None),
-    (4, " \t\n ", None), (5, "12 34 --", "en"), (6, "é中文😀 ñ " * 40, "es"), (7, "x" * 70_000, "en"),
+    (4, " \t\n ", None), (5, "12 34² -- ½", "en"), (6, "é中文😀 ñ " * 40, "es"), (7, "x" * 70_000, "en"),
     (8, "word " * 30_000, "en"), (9, "Some plain words of a text. And another sentence here!", "en"), (10, "a", "fr"),
 ]
 CLASH = ["n_tokens", "score", "held_out", "fp", "sketch", "component", "_size", "_shard", "_slot", "_hash", "_tie", "media", "base", "added",
