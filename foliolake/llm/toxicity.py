@@ -8,6 +8,7 @@ sentences made a document toxic, and then points at them.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ TRAIN_PER_CLASS = 4_000
 #: A word or word beginning must be in so many training documents to become a feature.
 MIN_DOCUMENTS = 4
 #: Least likelihood-ratio statistic of a feature against the label, and weight of the squared size of the weights.
-LEAST_G2, RIDGE = 15.0, 1e-5
+LEAST_G2, RIDGE = 30.0, 1e-5
 #: Lengths of the word beginnings that are features beside the whole word: endings change with inflection.
 STEMS = (4, 5, 6)
 #: Score from which a document counts as toxic, and probability from which a sentence is pointed at.
@@ -66,22 +67,25 @@ class Scorer:
             self.words[word] = w
         return w
 
+    def evidence(self, words: list[str]) -> float:
+        """Log odds of a sentence: each distinct word counts once, however often it is repeated."""
+        weight = self.weight
+        return self.model.bias + sum([weight(w) for w in dict.fromkeys(words)])
+
     def score(self, text: str | None) -> float:
         """Noisy-or of the sentences; a text without words scores 0."""
-        weight, bias, total, words, miss = self.weight, self.model.bias, 0.0, 0, []
+        miss, words = [], []
         for unit in _UNIT.findall((text or "").lower()):
-            if unit[0] in ".!?\n":
-                if words:
-                    miss.append(total)
-                total, words = 0.0, 0
-            else:
-                total += weight(unit)
-                words += 1
+            if unit[0] not in ".!?\n":
+                words.append(unit)
+            elif words:
+                miss.append(self.evidence(words))
+                words = []
         if words:
-            miss.append(total)
+            miss.append(self.evidence(words))
         if not miss:
             return 0.0
-        z = np.array(miss) + bias
+        z = np.array(miss)
         # log(1 - sigmoid(z)) = -log(1 + e^z)
         return float(-np.expm1(-np.logaddexp(0.0, z).sum()))
 
@@ -93,8 +97,7 @@ class Scorer:
         for m in re.finditer(r"[^.!?\n]+", lower):
             words = _WORD.findall(m.group())
             if words:
-                z = self.model.bias + sum([self.weight(w) for w in words])
-                out.append((m.start(), m.end(), float(1 / (1 + np.exp(-z)))))
+                out.append((m.start(), m.end(), float(1 / (1 + np.exp(-self.evidence(words))))))
         return out
 
 
@@ -158,7 +161,7 @@ def fit(rows: list[tuple[str, int]], rounds: int) -> Model:
     feature, sentence, document, n = [], [], [], 0
     for d, (bag, _) in enumerate(rows):
         for line in bag.split("\n"):
-            for w in line.split():
+            for w in dict.fromkeys(line.split()):
                 ids = of_word.get(w)
                 if ids is None:
                     ids = of_word[w] = [number[f] for f in features_of(w) if f in number]
@@ -167,7 +170,9 @@ def fit(rows: list[tuple[str, int]], rounds: int) -> Model:
             document.append(d)
             n += 1
     feature, sentence, document = (np.array(x, np.int64) for x in (feature, sentence, document))
-    theta, bias = np.zeros(len(names)), -6.0
+    # without a telling word the longest document stays at one half, so no document is toxic for its length
+    highest = math.log(math.log(2) / max(1, int(np.bincount(document).max())))
+    theta, bias = np.zeros(len(names)), min(-6.0, highest)
     grown = np.zeros((2, len(names) + 1))
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())  # both classes weigh alike
     for step in range(1, rounds + 1):
@@ -181,7 +186,7 @@ def fit(rows: list[tuple[str, int]], rounds: int) -> Model:
         grown[0] = 0.9 * grown[0] + 0.1 * slope
         grown[1] = 0.99 * grown[1] + 0.01 * slope ** 2
         move = 0.1 * grown[0] / (1 - 0.9 ** step) / (np.sqrt(grown[1] / (1 - 0.99 ** step)) + 1e-9)
-        theta, bias = theta - move[:-1], bias - move[-1]
+        theta, bias = theta - move[:-1], min(bias - move[-1], highest)
     return Model({f: float(theta[i]) for f, i in number.items()}, float(bias))
 
 
