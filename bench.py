@@ -11,6 +11,7 @@ import sys
 import time
 
 from foliolake import plans
+from foliolake.plans.bindings import case_store
 from foliolake.session import local_session
 
 HEADLINE = [
@@ -20,6 +21,7 @@ HEADLINE = [
     "range_overlap_counts", "title_links", "document_graph", "mention_graph", "entity_directory", "project_entities", "history_lines",
     "ledger_upsert", "adjacent_context",
 ]
+ASK_THE_STORE = ["ranked_search_index", "boolean_search", "question_pages", "evidence_tables"]
 
 
 def main() -> None:
@@ -32,6 +34,11 @@ def main() -> None:
     # one small query starts the executors, the code generator and the parquet reader
     queries["sample_titles"](spark, sf).collect()
     times: dict[str, float] = {}
+    if any(n in names for n in ASK_THE_STORE):
+        # pages, postings and vocabulary are built once; the searches below run on the finished store
+        begin = time.perf_counter()
+        case_store(spark, sf)
+        times["store_build"] = round(time.perf_counter() - begin, 3)
     for name in names:
         runs = []
         for _ in range(int(os.environ.get("BENCH_RUNS", "1"))):
