@@ -12,10 +12,11 @@ def keep_one(df: DataFrame, key: Sequence[str], arrival: str, *, policy: str) ->
     """One row per key: ``replace`` keeps the last arrival, ``ignore`` the first.
 
     An aggregate, not a window: a key that arrives again and again is reduced before the shuffle.
+    Of rows with one arrival a hash of the row decides, so the choice is the same in every run.
     """
     pick = {"replace": F.max_by, "ignore": F.min_by}[policy]
     rest = [c for c in df.columns if c not in key]
-    return df.groupBy(*key).agg(pick(F.struct(*rest), arrival).alias("_row")).select(*key, "_row.*")
+    return df.groupBy(*key).agg(pick(F.struct(*rest), F.struct(arrival, F.xxhash64(*rest))).alias("_row")).select(*key, "_row.*")
 
 
 def drop_orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

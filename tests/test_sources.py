@@ -4,6 +4,7 @@ import json
 import struct
 
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from foliolake import schemas
@@ -79,6 +80,12 @@ def test_vectors_with_wrong_length_are_dropped(spark):
     assert [(r.id, list(r.embedding)) for r in got] == [(1, [0.5, -1.0])]
 
 
+def test_keep_one_of_equal_arrivals(spark):
+    df = spark.createDataFrame([(1, v, 5) for v in "abcdef"], "k int, v string, seq int")
+    picked = {store.keep_one(df.repartition(n, "v"), ["k"], "seq", policy="replace").first().v for n in (1, 3, 5)}
+    assert len(picked) == 1
+
+
 def test_keep_one_policies(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")], "k string, seq int, v string")
     for policy, want in (("replace", {"a": "y", "b": "z"}), ("ignore", {"a": "x", "b": "z"})):
@@ -90,6 +97,11 @@ def test_ad_hoc_sql_is_read_only(spark):
     assert records.sql(spark, "SELECT id FROM t WHERE id >= :a ORDER BY id;", {"t": df}, page_size=5, offset=1, args={"a": 90}).count() == 5
     with pytest.raises(ValueError):
         records.sql(spark, "DROP TABLE t", {"t": df})
+    for text in ("FROM t INSERT INTO u SELECT *", "WITH x AS (SELECT 1 AS id) INSERT INTO u SELECT * FROM x",
+                 "WITH x AS (SELECT 1 AS id) DELETE FROM u", "SET a = 1", "CREATE VIEW v AS SELECT 1", "INSERT INTO u VALUES (1)"):
+        with pytest.raises((ValueError, ParseException)):
+            records.sql(spark, text, {"t": df})
+    assert records.sql(spark, "WITH x AS (SELECT id FROM t) SELECT * FROM x UNION ALL VALUES (7)", {"t": df}).count() == 50
     assert len(records.run_limited(df.limit(3), 60)) == 3
 
 
