@@ -21,13 +21,14 @@ def with_language(docs: DataFrame) -> DataFrame:
     return docs.where(language.language_column(docs, model) != language.UNKNOWN)
 
 
-def one_of_each(docs: DataFrame, *, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
-    """Of documents that hang together by SimHash links, the one with the smallest id; and one row of a repeated id.
+def one_of_each(docs: DataFrame, *, words: int = 5, radius: int = 20, similarity: float = 0.8) -> DataFrame:
+    """Of documents that hang together by pairs with ``similarity`` of their word shingles in common, the one with the
+    smallest id; and one row of a repeated id.
 
-    Rows with a null id cannot be told apart by it: they stay.
+    SimHash fingerprints within ``radius`` only name candidates, see ``simhash.similar_documents``.  Rows with a null
+    id cannot be told apart by it: they stay.
     """
-    prints = simhash.fingerprints(docs, words=words, sketches=True)
-    found = stored(simhash.near_duplicates(prints, radius=radius, similarity=similarity).select("doc_id", "component"), "found")
+    found = stored(simhash.similar_documents(docs, words=words, radius=radius, similarity=similarity), "found")
     found = found.where("doc_id is not null")
     copies = found.where("doc_id <> component").select("doc_id").distinct()
     # hashed by id at every size: the ids of copies grow with the documents and must not be broadcast

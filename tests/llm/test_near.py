@@ -135,3 +135,46 @@ def test_vector_query(spark):
     want = {a: sum(1 for b in unit if b != a and unit[a][0] == unit[b][0] and unit[a][1] @ unit[b][1] >= 0.93) for a in unit}
     assert got == want
     assert lsh.near_vectors(spark.read.parquet(f"{SF}/embeddings.parquet").limit(0)).count() == 0
+
+
+def words_of(draw, n):
+    return [f"w{i}" for i in draw.integers(0, 10 ** 9, n)]
+
+
+def shingle_set(words):
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("group", [3, 256])
+def test_stage_counts_shingles_at_the_threshold(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    draw = np.random.default_rng(8)
+    rows, sets, near, links = [], {}, Counter(), []
+    for i in range(0, 600, 2):
+        one = words_of(draw, int(draw.integers(60, 600)))
+        other = list(one)
+        for _ in range(len(one) // 50 + int(draw.integers(0, 3))):
+            other[int(draw.integers(0, len(one)))] = f"new{draw.integers(0, 10 ** 9)}"
+        sets[i], sets[i + 1] = shingle_set(one), shingle_set(other)
+        rows += [(i, " ".join(one)), (i + 1, " ".join(other))]
+        alike = len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1])
+        near["at" if 0.8 <= alike < 0.85 else "below" if 0.7 <= alike < 0.8 else "else"] += 1
+        if alike >= 0.8:
+            links.append((i, i + 1))
+    # a chain whose neighbours are alike and whose ends are not, and one group of many near copies of one text
+    chain = words_of(draw, 200)
+    for i in range(1000, 1006):
+        chain = chain[:(i - 1000) * 15] + words_of(draw, 8) + chain[(i - 1000) * 15 + 8:]
+        sets[i] = shingle_set(chain)
+        rows.append((i, " ".join(chain)))
+    base = words_of(draw, 100)
+    for i in range(2000, 2020):
+        copy = base[:5 * (i - 2000)] + [f"own{i}"] * (i % 3) + base[5 * (i - 2000) + i % 3:]
+        sets[i] = shingle_set(copy)
+        rows.append((i, " ".join(copy)))
+    late = [i for i in sets if i >= 1000]
+    links += [(a, b) for a in late for b in late if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert near["at"] >= 30 and near["below"] >= 30
+    want = clusters(list(sets), links)
+    kept = {r["doc_id"] for r in stages.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i in sets if want[i] == i}
