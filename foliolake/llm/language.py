@@ -27,6 +27,11 @@ RIDGE = 1e-3
 #: Texts in one matrix product.
 BATCH = 64
 UNKNOWN = "und"
+#: A text is doubtful if no language's score is above the first and the best leads the next by less than the second.
+LEAST_SCORE, LEAST_LEAD = 0.5, 0.1
+#: Parts of the share of grams that the landmarks have of a usual text: below the first a text has no learned language,
+#: below the second a doubtful one has none (a text in two learned languages is doubtful, but its grams are known).
+LEAST_COVER, DOUBTFUL_COVER = 0.5, 0.9
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -63,6 +68,7 @@ class Model:
     landmarks: list[np.ndarray] = field(default_factory=list)
     root: np.ndarray | None = None  # inverse square root of the landmarks' kernel matrix
     weights: np.ndarray | None = None
+    cover: float = 0.0  # share of a usual text's grams that the landmarks have
 
 
 class Scorer:
@@ -71,20 +77,38 @@ class Scorer:
         used = np.unique(np.concatenate(model.landmarks)) if model.landmarks else np.zeros(0, np.int64)
         self.column = np.full(self.grams.size, -1, np.int32)
         self.column[used] = np.arange(len(used))
-        self.known = np.zeros((len(used), len(model.landmarks)), np.float32)
+        self.landmarks = np.zeros((len(used), len(model.landmarks)), np.float32)
         for i, grams in enumerate(model.landmarks):
-            self.known[self.column[grams], i] = 1
+            self.landmarks[self.column[grams], i] = 1
         self.own = np.sqrt(np.array([max(1, len(g)) for g in model.landmarks], np.float32))
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Kernel values of each text with each landmark."""
-        seen, norm = np.zeros((len(texts), len(self.known)), np.float32), np.ones((len(texts), 1), np.float32)
+        return self.measured(texts)[0]
+
+    def measured(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel values, and the share of each text's grams that any landmark has."""
+        seen, norm = np.zeros((len(texts), self.landmarks.shape[0]), np.float32), np.ones((len(texts), 1), np.float32)
         for i, text in enumerate(texts):
             grams = self.grams.of(text)
             at = self.column[grams]
             seen[i, at[at >= 0]] = 1
             norm[i] = np.sqrt(max(1, len(grams)))
-        return seen @ self.known / (norm * self.own)
+        return seen @ self.landmarks / (norm * self.own), seen.sum(axis=1) / norm[:, 0] ** 2
+
+    def known(self, texts: list[str | None]) -> list[bool]:
+        """Whether a text has one of the learned languages; without a model, whether it has a letter."""
+        out = [t is not None and _LETTER.search(t) is not None for t in texts]
+        for at in range(0, len(texts) if self.model.weights is not None else 0, BATCH):
+            kernel, cover = self.measured([t or "" for t in texts[at:at + BATCH]])
+            # regression targets are -1 and 1
+            values = ((kernel @ self.model.root @ self.model.weights).astype(np.float64) + 1) / 2
+            ordered = np.sort(values, axis=1)
+            lead = ordered[:, -1] - ordered[:, -2] if values.shape[1] > 1 else np.zeros(len(values))
+            least = np.where((ordered[:, -1] > LEAST_SCORE) | (lead >= LEAST_LEAD), LEAST_COVER, DOUBTFUL_COVER)
+            sure = cover >= least * self.model.cover
+            out[at:at + BATCH] = [a and b for a, b in zip(out[at:at + BATCH], sure.tolist(), strict=True)]
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
@@ -133,7 +157,8 @@ def fit(rows: list[tuple[int, str, str]], landmarks: int) -> Model:
     languages = sorted({r[1] for r in rows})
     if not languages:
         return Model([])
-    chosen = [t for lang in languages for t in [r[2] for r in rows if r[1] == lang][:landmarks]]
+    ranked = [[r[2] for r in rows if r[1] == lang] for lang in languages]
+    chosen, others = [t for own in ranked for t in own[:landmarks]], [t for own in ranked for t in own[landmarks:]]
     letters = Counter(c for t in chosen for c in t.lower() if c.isalpha())
     model = Model(languages, [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]])
     grams = Grams(model.letters)
@@ -143,6 +168,8 @@ def fit(rows: list[tuple[int, str, str]], landmarks: int) -> Model:
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     kept = values > 1e-6 * values.max()
     model.root = (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)
+    covers = [scorer.measured(others[at:at + BATCH])[1] for at in range(0, len(others), BATCH)]
+    model.cover = float(np.median(np.concatenate(covers))) if covers else 0.0
     phi = np.concatenate([scorer.kernel([r[2] for r in rows[at:at + BATCH]]) @ model.root for at in range(0, len(rows), BATCH)]).astype(np.float64)
     target = np.where(np.array([r[1] for r in rows])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     # every language weighs alike
@@ -173,14 +200,14 @@ def predict(df: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     return map_rows(rows, f"`{key}` {kind}, held_out boolean, lang_pred string, score double", make)
 
 
-def language_column(df: DataFrame, model: Model, text: str = "text") -> Column:
-    """The predicted language as a column expression, for filters that keep all other columns."""
+def known_column(df: DataFrame, model: Model, text: str = "text") -> Column:
+    """Whether the text has a learned language, as a column expression for filters that keep all other columns."""
     held = df.sparkSession.sparkContext.broadcast(model)
     state: dict = {}
 
-    @F.arrow_udf("string")
-    def language_of(texts: pa.Array) -> pa.Array:
+    @F.arrow_udf("boolean")
+    def is_known(texts: pa.Array) -> pa.Array:
         scorer = state.get("scorer") or state.setdefault("scorer", Scorer(held.value))
-        return pa.array(scorer.predict(texts.to_pylist())[0], pa.string())
+        return pa.array(scorer.known(texts.to_pylist()), pa.bool_())
 
-    return language_of(F.col(text))
+    return is_known(F.col(text))

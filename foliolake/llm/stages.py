@@ -16,9 +16,15 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """Documents that have a language.  Texts that are null or have no letter are ``und`` and go."""
+    """Documents that the model finds to be in a learned language.
+
+    Texts that are null or have no letter go, and texts in no learned language: those whose character grams the
+    landmarks mostly lack (``language.LEAST_COVER``), or lack more than usual (``language.DOUBTFUL_COVER``) where no
+    language scores above ``language.LEAST_SCORE`` or leads by ``language.LEAST_LEAD``.  Where there is nothing to learn
+    from (no label, no id, or held-out rows only), every text with a letter stays.
+    """
     model = language.train(docs)
-    return docs.where(language.language_column(docs, model) != language.UNKNOWN)
+    return docs.where(language.known_column(docs, model))
 
 
 def one_of_each(docs: DataFrame, *, words: int = 5, radius: int = 20, similarity: float = 0.8) -> DataFrame:

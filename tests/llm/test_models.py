@@ -80,3 +80,24 @@ def test_language_awkward_rows(spark, awkward):
     assert language.predict(awkward.limit(0), language.train(awkward.limit(0))).count() == 0
     kept = stages.with_language(awkward)
     assert kept.columns == awkward.columns and {2, 3, 4, 5}.isdisjoint({r["doc_id"] for r in kept.collect()})
+
+
+def test_language_stage_decides_by_the_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    strange = {-1: "съешь же ещё этих мягких французских булок да выпей чаю " * 3, -2: "αυτό είναι ένα κείμενο στα ελληνικά " * 5,
+               -3: "这是一个用中文写的句子" * 10, -4: "qzxj vkwq zzxk jqvx wkqz xjzv qkxw vzqj " * 4, -5: "12 34"}
+    both = docs.unionByName(spark.createDataFrame([(k, t, None) for k, t in strange.items()], docs.schema))
+    kept = {r["doc_id"] for r in stages.with_language(both).collect()}
+    clean = {r["doc_id"] for r in docs.where(r"text rlike '\\p{L}'").collect() if held_out(r["doc_id"])}
+    assert kept.isdisjoint(strange)
+    assert len(clean) > 300 and clean <= kept
+
+
+def test_language_stage_without_a_model_keeps_letters(spark):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (None, "слова", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labelled = docs.withColumn("lang", F.lit("en")).withColumn("doc_id", F.lit(None).cast("long"))
+    fold_one = next(k for k in range(100) if held_out(k))
+    held = docs.withColumn("lang", F.lit("en")).withColumn("doc_id", F.lit(fold_one).cast("long"))
+    for df in (docs, labelled, held):
+        assert {r["text"] for r in stages.with_language(df).collect()} == {"some words", "слова"}
