@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, language, lsh, packing, secrets, sentence_pieces, sharding, simhash, token_counts, toxicity
+from . import alignment, bpe, gif, language, lsh, packing, secrets, sentence_pieces, sharding, simhash, token_counts, toxicity
 from .common import table
 from .twins import SECRETS, VECTOR_DEDUP
 
@@ -85,6 +85,13 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), path=public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(
+        table(spark, sf_dir, "documents"), path_a=public_tokenizers.path("byte_bpe_50k.json"), pattern_a=public_tokenizers.PATTERN,
+        path_b=public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
