@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, gif, language, lsh, packing, secrets, sentence_pieces, sharding, simhash, token_counts, toxicity
+from . import alignment, bpe, gif, language, lsh, packing, prefix_trie, secrets, sentence_pieces, sharding, simhash, token_counts, toxicity
 from .common import table
 from .twins import SECRETS, VECTOR_DEDUP
 
@@ -92,6 +92,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         path_b=public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
