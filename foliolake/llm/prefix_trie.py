@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, stored
 
 #: Sequences that a container may hold before it bursts, and depths of the first round of bursting.
-CONTAINER, DEPTHS = 4096, 4
+CONTAINER, DEPTHS = 256, 4
 #: Bytes of a turn's digest and of a prefix's.
 WIDE = 16
 #: Ids joined into one text before it moves: a group of copies is hashed from such texts, in order.
