@@ -284,8 +284,9 @@ def truncate(text: str | Column, size: int, marker: str = "") -> Column:
     return F.when(F.length(text) > size, F.concat(cut, F.lit(marker))).otherwise(cut) if marker else cut
 
 
-def first_line_title(text: str | Column, size: int = 60) -> Column:
-    return F.substring(F.substring_index(as_column(text), "\n", 1), 1, size)
+def first_line_title(text: str | Column) -> Column:
+    """The whole first line."""
+    return F.substring_index(as_column(text), "\n", 1)
 
 
 # --- composition of document fields ------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions import fixed_values as V
 from ..functions.text import strip, truncate
-from .ordered import newest_cutoff, with_next
+from .ordered import newest_cutoff, numbered, with_next
 
 PAGE = ["doc_id", "page_number"]
 
@@ -154,10 +154,11 @@ def best_sources(results: DataFrame, *, keys: Sequence[str] = ("question_id",),
     return best.withColumn("source_no", F.row_number().over(order)).filter(F.col("source_no") <= most)
 
 
-def title_first(results: DataFrame, query: str, *, ordinal: str = "ordinal", title: str = "title") -> DataFrame:
-    """Stable re-rank: titles that contain the query come first."""
+def title_first(results: DataFrame, query: str, *, ordinal: str = "ordinal", title: str = "title", position: str | None = None) -> DataFrame:
+    """Stable re-rank: titles that contain the query come first.  ``position`` names a column for the new rank, from 1."""
     hit = F.lower(F.coalesce(title, F.lit(""))).contains(query.lower())
-    return results.withColumn("_miss", F.when(hit, 0).otherwise(1)).orderBy("_miss", ordinal).drop("_miss")
+    marked = results.withColumn("_miss", F.when(hit, 0).otherwise(1))
+    return (numbered(marked, ["_miss", ordinal], position) if position else marked.orderBy("_miss", ordinal)).drop("_miss")
 
 
 # --- evidence ---------------------------------------------------------------------------------

@@ -129,7 +129,7 @@ def sql_tokens(expr: str) -> str:
     return rf"regexp_extract_all({sql_fold(expr)}, '[\p{{L}}\p{{N}}]+')"
 
 
-TITLE = "substr(split_part(text, chr(10), 1), 1, 60)"
+TITLE = "split_part(text, chr(10), 1)"
 
 # greedy packing as a fold over paragraphs, one struct per step
 PAGES = f"""paras AS (

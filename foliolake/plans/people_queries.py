@@ -20,20 +20,33 @@ PAGE = ["doc_id", "page_number"]
 # --- Indel ratio in SQL -----------------------------------------------------------------------
 
 
-def sql_indel(source: str, name: str) -> str:
-    """Tables for ``WITH RECURSIVE``: ``name(id_1, id_2, ratio)`` of the pairs ``source(id_1, id_2, x, y)`` of strings.
+def sql_indel(source: str, name: str, threshold: float) -> str:
+    """Tables for ``WITH RECURSIVE``: ``name(id_1, id_2, ratio)`` of those pairs ``source(id_1, id_2, x, y)`` that reach the ratio.
 
-    The LCS table is filled row by row, one letter of ``x`` a step.
+    One letter is put in or dropped per step ``d``.  ``v`` holds, for each shift ``k`` of -d, -d + 2 … d between the strings, how
+    far into ``x`` so many edits lead at most; letters that agree are passed over by halving.
     """
-    return f"""{name}_rows AS (SELECT id_1, id_2, x, string_split(y, '') AS y, 0 AS i, list_transform(range(0, length(y) + 1), lambda j: 0::BIGINT) AS r FROM {source}
-  UNION ALL SELECT id_1, id_2, x, y, i + 1, list_transform(range(1, len(y) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k:
-   greatest(r[k], CASE WHEN k > 1 AND y[k - 1] = substr(x, i + 1, 1) THEN r[k - 1] + 1 ELSE 0 END)))) FROM {name}_rows WHERE i < length(x)),
- {name} AS (SELECT id_1, id_2, 2.0::DOUBLE * r[len(r)] / (length(x) + len(y)) AS ratio FROM {name}_rows WHERE i = length(x))"""
+    powers = [1 << n for n in range(17, -1, -1)]
+
+    def run(i: str, k: str) -> str:
+        return f"""CASE WHEN {i} < n AND {i} - {k} < m AND substr(x, {i} + 1, 1) = substr(y, {i} - {k} + 1, 1) THEN {i} + list_reduce([0, {", ".join(map(str, powers))}],
+   lambda l, b: CASE WHEN {i} + l + b <= n AND {i} - {k} + l + b <= m AND substr(x, {i} + l + 1, b) = substr(y, {i} - {k} + l + 1, b) THEN l + b ELSE l END) ELSE {i} END"""
+
+    k = "(2 * (t - 1) - d - 1)"
+    done = "(n - m + d) % 2 = 0 AND abs(n - m) <= d AND v[(n - m + d) // 2 + 1] = n"
+    return f"""{name}_in AS (SELECT *, length(x) AS n, length(y) AS m FROM {source}),
+ {name}_steps AS (SELECT id_1, id_2, x, y, n, m, 0 AS d, [{run("0", "0")}] AS v FROM {name}_in
+  UNION ALL SELECT id_1, id_2, x, y, n, m, d + 1, list_transform(list_transform(range(1, d + 3), lambda t: {{'k': {k}, 'i': coalesce(greatest(
+    CASE WHEN v[t] >= 0 AND v[t] - {k} <= m THEN v[t] END, CASE WHEN v[t - 1] >= 0 AND v[t - 1] < n THEN v[t - 1] + 1 END), -1)}}),
+    lambda s: CASE WHEN s.i < 0 THEN -1 ELSE {run("s.i", "s.k")} END)
+   FROM {name}_steps WHERE NOT ({done}) AND d + 1 <= {1 - threshold:.2f} * (n + m) + 1e-9),
+ {name} AS (SELECT id_1, id_2, (n + m - d)::DOUBLE / (n + m) AS ratio FROM {name}_steps WHERE {done})"""
 
 
 def sql_near(x: str, y: str, threshold: float) -> str:
-    """Pairs that can reach the ratio: the edit distance with substitutions is never above the Indel distance."""
-    return f"levenshtein({x}, {y}) <= {1 - threshold:.2f} * (length({x}) + length({y})) + 1e-9"
+    """Pairs that can reach the ratio: by length, and as the edit distance with substitutions is never above the Indel distance."""
+    total = f"(length({x}) + length({y}))"
+    return f"""CASE WHEN 2 * least(length({x}), length({y})) >= {threshold} * {total} - 1e-9 THEN levenshtein({x}, {y}) <= {1 - threshold:.2f} * {total} + 1e-9 ELSE false END"""
 
 
 # --- spans in SQL -----------------------------------------------------------------------------
@@ -245,7 +258,7 @@ def _fuzzy_sql(threshold: float) -> str:
    SELECT {sql_normalise('name')} AS name_key, person_id, 0 AS al FROM persons UNION ALL SELECT {sql_normalise('alias')}, person_id, 1 FROM persons) GROUP BY 1),
  fk AS (SELECT DISTINCT {sql_normalise('text')} AS name_key FROM cm WHERE {sql_normalise('text')} NOT IN (SELECT name_key FROM nm)),
  fp AS (SELECT fk.name_key AS id_1, nm.name_key AS id_2, {words('fk.name_key')} AS x, {words('nm.name_key')} AS y FROM fk CROSS JOIN nm),
- fc AS (SELECT * FROM fp WHERE {sql_near('x', 'y', threshold)}), {sql_indel('fc', 'fi')},
+ fc AS (SELECT * FROM fp WHERE {sql_near('x', 'y', threshold)}), {sql_indel('fc', 'fi', threshold)},
  fz AS (SELECT id_1 AS name_key, arg_min({{'p': nm.person_id, 'm': id_2}}, {{'s': -ratio, 'f': first_at}}) AS best, max(ratio) AS ratio
   FROM fi JOIN nm ON nm.name_key = id_2 JOIN ff ON ff.name_key = id_2 WHERE ratio >= {threshold} GROUP BY 1)"""
 
@@ -368,8 +381,8 @@ def title_links_equal(spark, sf):
 
 _TITLES_SQL = f"""tt AS (SELECT doc_id AS id, lower({sql_strip(TITLE)}) AS v FROM documents WHERE {sql_strip(TITLE)} <> '' AND NOT regexp_matches({sql_strip(TITLE)}, '^[A-Za-z]{{1,10}}[-_]?[0-9]{{3,}}$')),
  th AS (SELECT v, min(id) AS id FROM tt GROUP BY 1),
- tc AS (SELECT a.id AS id_1, b.id AS id_2, a.v AS x, b.v AS y FROM th a JOIN th b ON a.id < b.id AND substr(a.v, 1, 6) = substr(b.v, 1, 6) AND {sql_near('a.v', 'b.v', 0.9)}),
- {sql_indel('tc', 'ti')},
+ tc AS (SELECT a.id AS id_1, b.id AS id_2, a.v AS x, b.v AS y FROM th a JOIN th b ON a.id < b.id AND {sql_near('a.v', 'b.v', 0.9)}),
+ {sql_indel('tc', 'ti', 0.9)},
  tl AS (SELECT th.id AS id_1, tt.id AS id_2, 1.0::DOUBLE AS score FROM tt JOIN th USING (v) WHERE tt.id <> th.id
   UNION ALL SELECT id_1, id_2, round(ratio, 4) FROM ti WHERE ratio >= 0.9)"""
 
@@ -407,11 +420,11 @@ def duplicate_links_certain(spark, sf):
     return dedup.duplicate_links(_dedup_records(spark, sf), threshold=None).drop("reason")
 
 
-@query(f"""WITH {_SIGNALS_SQL}, u AS (SELECT * FROM h UNION ALL SELECT * FROM r), b AS ({_BEST_SQL})
- SELECT * FROM b ORDER BY score DESC, id_1, id_2 LIMIT 400""")
+@query(f"""WITH RECURSIVE {_TITLES_SQL}, {_SIGNALS_SQL}, u AS (SELECT * FROM h UNION ALL SELECT * FROM r UNION ALL SELECT id_1, id_2, 3, score FROM tl), b AS ({_BEST_SQL})
+ SELECT row_number() OVER (ORDER BY score DESC, id_1, id_2) AS ordinal, * FROM b""")
 def duplicate_report(spark, sf):
-    """The first 400 lines of the report, by score: copies, then overlapping ranges."""
-    return dedup.ranked_report(dedup.duplicate_links(_dedup_records(spark, sf), threshold=None).drop("reason")).limit(400)
+    """The whole report, all three signals, numbered by descending score."""
+    return dedup.ranked_report(dedup.duplicate_links(_dedup_records(spark, sf)).drop("reason"))
 
 
 # --- graphs -----------------------------------------------------------------------------------

@@ -153,18 +153,18 @@ def graph_round_trip(spark, sf):
     folder = work_folder(spark, "graph")
     links = document_persons(spark, sf)
     store.write_graph(graph.person_nodes(links), graph.document_edges(links), folder)
-    return spark.read.schema("source bigint, target bigint, type string, weight double").json(f"{folder}/links").drop("type")
+    return spark.read.schema("source bigint, target bigint, type string, weight double").json(f"{folder}/links")
 
 
-@query(f"""WITH h AS (SELECT doc_id, sha256({sql_normalise('text')}) AS hash FROM documents WHERE {sql_strip('text')} <> '' AND substr(split_part(text, chr(10), 1), 1, 60) <> ''),
- g AS (SELECT hash, min(doc_id) AS id_1 FROM h GROUP BY 1) SELECT id_1, doc_id AS id_2 FROM h JOIN g USING (hash) WHERE doc_id <> id_1""")
+@query(f"""WITH h AS (SELECT doc_id, sha256({sql_normalise('text')}) AS hash FROM documents WHERE {sql_strip('text')} <> '' AND split_part(text, chr(10), 1) <> ''),
+ g AS (SELECT hash, min(doc_id) AS id_1 FROM h GROUP BY 1) SELECT id_1, doc_id AS id_2, 1.0::DOUBLE AS score FROM h JOIN g USING (hash) WHERE doc_id <> id_1""")
 def report_round_trip(spark, sf):
     from ..operators import dedup
     from .bindings import titled
 
     folder = work_folder(spark, "report")
     store.write_json(dedup.hash_links(dedup.dedup_records(titled(spark, sf))), folder)
-    return spark.read.schema("id_1 bigint, id_2 bigint, score double").json(folder).drop("score")
+    return spark.read.schema("id_1 bigint, id_2 bigint, score double").json(folder)
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang AS title, CASE WHEN doc_id % 2 = 0 THEN '/in/' || doc_id || '.pdf' END AS file_path, md5(text) AS text_md5 FROM documents""")

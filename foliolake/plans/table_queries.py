@@ -153,7 +153,7 @@ def entity_types(spark, sf):
 # --- joins ------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {PAGES} SELECT p.doc_id, count(*) AS n_pages, max(p.page_number) AS last_page, any_value(substr(split_part(d.text, chr(10), 1), 1, 60)) AS title
+@query(f"""WITH {PAGES} SELECT p.doc_id, count(*) AS n_pages, max(p.page_number) AS last_page, any_value(split_part(d.text, chr(10), 1)) AS title
  FROM doc_pages p JOIN documents d ON d.doc_id = p.doc_id GROUP BY p.doc_id""")
 def documents_with_pages(spark, sf):
     counted = pages(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.max("page_number").alias("last_page"))
@@ -185,14 +185,14 @@ def case_persons(spark, sf):
     return stats.case_persons(mentions(spark, sf)).select("name", "n")
 
 
-@query(f"""WITH {PAGES}, h AS (SELECT doc_id, page_number, substr(text_content, 1, 100) AS text FROM doc_pages WHERE page_number % 2 = 1),
+@query(f"""WITH {PAGES}, h AS (SELECT doc_id, page_number, text_content AS text FROM doc_pages),
  j AS (SELECT h.*, trim(right(b.text_content, 300), {lit(V.WHITESPACE)}) AS b, trim(left(a.text_content, 300), {lit(V.WHITESPACE)}) AS a FROM h
   LEFT JOIN doc_pages b ON b.doc_id = h.doc_id AND b.page_number = h.page_number - 1
   LEFT JOIN doc_pages a ON a.doc_id = h.doc_id AND a.page_number = h.page_number + 1)
  SELECT doc_id, page_number, md5(concat_ws(chr(10), CASE WHEN coalesce(b, '') <> '' THEN '[...]' || b END, text, CASE WHEN coalesce(a, '') <> '' THEN a || '[...]' END)) AS text_md5 FROM j""")
 def adjacent_context(spark, sf):
     p = pages(spark, sf)
-    hits = p.filter(F.pmod("page_number", F.lit(2)) == 1).select("doc_id", "page_number", F.substring("text_content", 1, 100).alias("text"))
+    hits = p.select("doc_id", "page_number", F.col("text_content").alias("text"))
     return retrieval.with_adjacent(hits, p).select("doc_id", "page_number", F.md5("text").alias("text_md5"))
 
 
@@ -478,10 +478,11 @@ def name_variants(spark, sf):
     return stats.drop_name_variants(top)
 
 
-@query("""SELECT doc_id, title FROM (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 60) AS title FROM documents)
- ORDER BY CASE WHEN contains(lower(title), 'the') THEN 0 ELSE 1 END, doc_id LIMIT 30""")
+@query(f"""SELECT doc_id, title, row_number() OVER (ORDER BY CASE WHEN contains(lower(title), 'the') THEN 0 ELSE 1 END, doc_id) AS position
+ FROM (SELECT doc_id, {TITLE} AS title FROM documents)""")
 def title_first(spark, sf):
-    return retrieval.title_first(titled(spark, sf).select("doc_id", "title"), "the", ordinal="doc_id").limit(30)
+    """All documents, those with the word in their title first, numbered."""
+    return retrieval.title_first(titled(spark, sf).select("doc_id", "title"), "the", ordinal="doc_id", position="position")
 
 
 # --- keyed writes and set operations ------------------------------------------------------------

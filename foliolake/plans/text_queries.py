@@ -33,12 +33,19 @@ def page_split_sections(spark, sf):
     return out.select("doc_id", "page_number", F.md5("text_content").alias("text_md5"))
 
 
-@query(f"""WITH parts AS (SELECT doc_id, list_filter(string_split(replace(text, '. ', chr(12)), chr(12)), lambda p: {sql_strip('p')} <> '') AS ps,
-    replace(text, '. ', chr(12)) AS t FROM documents WHERE contains(text, '. '))
-SELECT doc_id, CAST(generate_subscripts(ps, 1) AS INTEGER) AS page_number, length(unnest(ps)) AS char_count FROM parts""")
+@query(f"""WITH t AS (SELECT doc_id, replace(text, '. ', chr(12)) AS text FROM documents),
+parts AS (SELECT doc_id, text, contains(text, chr(12)) AS fed,
+  list_filter(string_split(text, CASE WHEN contains(text, chr(12)) THEN chr(12) ELSE chr(10) || chr(10) END), lambda p: {sql_strip('p')} <> '') AS ps FROM t),
+folded AS (SELECT *, CASE WHEN len(ps) = 0 OR fed THEN NULL ELSE list_reduce(
+    list_transform(ps, lambda p: {{'done': []::VARCHAR[], 'cur': p}}),
+    lambda s, x: CASE WHEN length(s.cur) >= 200 THEN {{'done': list_append(s.done, s.cur), 'cur': x.cur}}
+      ELSE {{'done': s.done, 'cur': {sql_strip("s.cur || chr(10) || chr(10) || x.cur")}}} END) END AS f FROM parts),
+chunked AS (SELECT doc_id, CASE WHEN len(ps) = 0 THEN [text] WHEN fed THEN ps ELSE list_append(f.done, f.cur) END AS chunks FROM folded)
+SELECT doc_id, CAST(generate_subscripts(chunks, 1) AS INTEGER) AS page_number, length(unnest(chunks)) AS char_count, md5(unnest(chunks)) AS text_md5 FROM chunked""")
 def page_split_form_feeds(spark, sf):
-    fed = documents(spark, sf).filter(F.contains("text", F.lit(". "))).select("doc_id", F.replace("text", F.lit(". "), F.lit("\f")).alias("text"))
-    return paging.split_pages(fed).select("doc_id", "page_number", F.col("char_count").cast("bigint").alias("char_count"))
+    """Pages at form feeds, put in for the ends of sentences; texts without any are split at blank lines."""
+    fed = documents(spark, sf).select("doc_id", F.replace("text", F.lit(". "), F.lit("\f")).alias("text"))
+    return paging.split_pages(fed).select("doc_id", "page_number", F.col("char_count").cast("bigint").alias("char_count"), F.md5("text_content").alias("text_md5"))
 
 
 _CLEAN = (r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), """
@@ -384,13 +391,15 @@ def sanitize_question(spark, sf):
     return c.select("conv_id", "turn", X.sanitize_question(F.concat("text", F.lit(" record* * (x)"))).alias("q"))
 
 
-@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '' || split_part(text, ' ', 1) || '|bank*' WHEN 1 THEN 'alpha' ELSE '' END AS parsed FROM
- (SELECT conv_id, turn, regexp_replace(text, '[^a-zA-Z ]', '', 'g') || ' zz' AS text FROM conversations WHERE regexp_matches(text, '^[B-GI-Z][a-z]{5,} '))""")
+@query(rf"""WITH c AS (SELECT conv_id, turn, text, {sql_strip(f"regexp_replace(regexp_replace(regexp_replace(text, '([^\\p{{L}}\\p{{N}}_])[*]', '\\1 ', 'g'), '{_NO_STAR}', ' ', 'g'), '{SPACES}', ' ', 'g')")} AS t FROM conversations),
+k AS (SELECT *, array_to_string(list_filter(string_split(t, ' '), lambda w: lower(w) NOT IN ({names(V.QUERY_STOP_WORDS)})), ' ') AS kept FROM c)
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN CASE WHEN coalesce(text, '') = '' THEN '' WHEN kept = '' THEN t || '|' ELSE kept || '|' END || 'bank*' WHEN 1 THEN 'alpha' ELSE '' END AS parsed FROM k""")
 def planned_queries(spark, sf):
-    c = table(spark, sf, "conversations").filter(F.col("text").rlike("^[B-GI-Z][a-z]{5,} "))
-    first = F.split_part(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(" "), F.lit(1))
+    """Every turn as a planner's reply: its whole text among the queries, a bare list, or no list at all."""
+    c = table(spark, sf, "conversations")
+    listed = F.to_json(F.array("text", F.lit(""), F.lit("bank*")))
     reply = (
-        F.when(F.pmod("turn", F.lit(4)) == 0, F.concat(F.lit('```json\n["'), first, F.lit('", "", "bank*"]\n```')))
+        F.when(F.pmod("turn", F.lit(4)) == 0, F.concat(F.lit("```json\n"), listed, F.lit("\n```")))
         .when(F.pmod("turn", F.lit(4)) == 1, F.lit(' ["alpha"] '))
         .when(F.pmod("turn", F.lit(4)) == 2, F.lit('{"a": 1}'))
         .otherwise("no json")

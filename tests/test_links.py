@@ -78,7 +78,7 @@ def test_similar_pairs_refuses_low_thresholds(spark):
         similar_pairs(df, df, threshold=0.5)
 
 
-def test_title_links_equal_brute_force_in_blocks(spark):
+def test_title_links_equal_brute_force(spark):
     titles = strings(11, 90) + ["Memo", "memo ", "DOC-00123", "ABC123", "abcdef", "abcdefg", "abcdefgh", "abcdexgh"] + ["annual report of the board"] * 3
     recs = [(i, t, None, None) for i, t in enumerate(titles)]
     df = spark.createDataFrame(recs, "id int, title string, number_range string, content_hash string")
@@ -91,11 +91,60 @@ def test_title_links_equal_brute_force_in_blocks(spark):
         rep.setdefault(kept[i], i)
     want = {(rep[t], i): 1.0 for i, t in kept.items() if rep[t] != i}
     for i, j in itertools.combinations(sorted(rep.values()), 2):
-        if kept[i][:6] == kept[j][:6] and indel(kept[i], kept[j]) >= 0.9:
+        if indel(kept[i], kept[j]) >= 0.9:
             want[i, j] = round(indel(kept[i], kept[j]), 4)
     assert got == want
 
 
+def test_titles_meet_whatever_they_begin_with(spark):
+    rest = "on the annual budget of the northern district and its many offices"
+    heading = "minutes of the board of the northern district, sitting in public: "
+    rows = [(1, f"a report {rest}"), (2, f"the report {rest}"), (3, heading + "money spent on roads and bridges in the past year"),
+            (4, heading + "whether schools shall open again before the winter ends")]
+    got = [tuple(r) for r in dedup.title_links(spark.createDataFrame(rows, "id int, title string")).collect()]
+    assert got == [(1, 2, round(indel(rows[0][1], rows[1][1]), 4))]
+
+
+def test_whole_first_line_is_the_title(spark):
+    from foliolake.functions.text import first_line_title
+    line = "x" * 500
+    df = spark.createDataFrame([(line + "\nsecond",), (line,), ("",), ("\nrest",), (None,)], "text string")
+    assert [r[0] for r in df.select(first_line_title("text")).collect()] == [line, line, "", "", None]
+
+
+@pytest.mark.parametrize("t", [0.7, 0.85, 0.9])
+def test_similar_pairs_of_long_and_short_values(spark, t):
+    rng = random.Random(int(t * 100))
+    values = set()
+    for n in (1, 2, 3, 5, 9, 14, 20, 30, 34, 45, 80, 150, 260):
+        for _ in range(3):
+            base = "".join(rng.choice("abcdefghij é😀") for _ in range(n))
+            values.add(base)
+            for _ in range(4):
+                other = list(base)
+                for _ in range(rng.randint(1, max(1, n // 4))):
+                    if rng.random() < 0.5 and other:
+                        other.pop(rng.randrange(len(other)))
+                    else:
+                        other.insert(rng.randint(0, len(other)), rng.choice("abxyz "))
+                values.add("".join(other))
+    values = sorted(v for v in values if v)
+    df = spark.createDataFrame(list(enumerate(values)), "id int, value string")
+    got = {(r[0], r[1]) for r in similar_pairs(df, df, threshold=t, ordered=True).collect()}
+    assert got == {(i, j) for i, j in itertools.combinations(range(len(values)), 2) if indel(values[i], values[j]) >= t}
+
+
+def test_few_candidates_among_names(spark):
+    from foliolake.operators.similar import candidates
+    rng = random.Random(3)
+    part = ["".join(rng.choice(c) for c in ("bcdfghjklmnprstvwz", "aeiou") * 3) for _ in range(300)]
+    values = sorted({f"{rng.choice(part)} {rng.choice(part)}" for _ in range(1200)})
+    df = spark.createDataFrame(list(enumerate(values)), "id int, value string")
+    for t in (0.85, 0.9):
+        found = similar_pairs(df, df, threshold=t, ordered=True).count()
+        assert candidates(df, df, threshold=t, ordered=True).count() <= 10 * found
+
+
 def test_title_links_do_not_depend_on_other_titles(spark):
     pair = [(1, "report on the annual budget of the northern office"), (2, "report on the annual budgets of the northern office")]
     crowd = [(i, f"report number {i} of another {i % 7} kind") for i in range(10, 610)]
