@@ -15,14 +15,14 @@ QUESTION = "question_id"
 HYBRID_ROWS = 200
 
 
-def find_pages(postings: DataFrame, doclens: DataFrame, query_terms: DataFrame, *, terms: DataFrame | None = None,
-               per_query: int = 10, total: int = 50) -> DataFrame:
+def find_pages(postings: DataFrame, doclens: DataFrame | None, query_terms: DataFrame, *, terms: DataFrame | None = None,
+               corpus: DataFrame | None = None, per_query: int = 10, total: int = 50) -> DataFrame:
     """``(question_id, query_no, doc_id, page_number, rank, position, ordinal)``.
 
     ``query_terms(question_id, query_no, term)``: each query keeps its ten best pages; a page counts
     once per question, at the first query that finds it; at most ``total`` pages per question.
     """
-    ranked = search(postings, doclens, query_terms, PAGE, query=[QUESTION, "query_no"], terms=terms)
+    ranked = search(postings, doclens, query_terms, PAGE, query=[QUESTION, "query_no"], terms=terms, corpus=corpus)
     best = top_k(ranked, per_query, [F.round("rank", 9), *[F.col(c) for c in PAGE]], by=[QUESTION, "query_no"])
     return first_occurrences(best, total=total)
 

@@ -117,10 +117,10 @@ def search_text(units: DataFrame, text: str, terms: Sequence[str], *, mode: str
 
 def in_buckets(postings: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
     """Postings with the bucket of their term, which a store turns into folders."""
-    return postings.withColumn(BUCKET, _bucket(F.col("term"), buckets))
+    return postings.withColumn(BUCKET, bucket_of(F.col("term"), buckets))
 
 
-def _bucket(term: Column, buckets: int) -> Column:
+def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
@@ -131,7 +131,7 @@ def only_terms(postings: DataFrame, terms: DataFrame, buckets: int = TERM_BUCKET
     """
     if BUCKET not in postings.columns:
         return postings
-    held = [r[0] for r in terms.select(_bucket(F.col("term"), buckets)).distinct().collect()]
+    held = [r[0] for r in terms.select(bucket_of(F.col("term"), buckets)).distinct().collect()]
     return postings.filter(F.col(BUCKET).isin(held)).drop(BUCKET)
 
 
@@ -140,15 +140,16 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def search(postings: DataFrame, doclens: DataFrame, query_terms: DataFrame, unit: Sequence[str], *,
-           query: Sequence[str] = ("query_id",), terms: DataFrame | None = None) -> DataFrame:
+def search(postings: DataFrame, doclens: DataFrame | None, query_terms: DataFrame, unit: Sequence[str], *,
+           query: Sequence[str] = ("query_id",), terms: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """All units holding every term of a query: ``(*query, *unit, rank)`` for a whole batch of queries.
 
     Each query enters through its rarest term only; its other terms are looked up by (term, unit),
     a unique key.  A very common word therefore costs as much as the rarest word beside it, and no
     matching unit is lost.  ``query_terms`` holds one row per (query, folded term); ``terms`` is the
     stored ``vocabulary``, counted from the postings when not given.  Of postings stored in buckets
-    only those of the wanted terms are read.
+    only those of the wanted terms are read.  Postings that have ``n_tokens`` of their unit, with the
+    stored ``corpus(n_units, n_tokens)``, need no ``doclens``.
     """
     unit, query = list(unit), list(query)
     wanted = query_terms.select(*query, "term").distinct()
@@ -162,19 +163,24 @@ def search(postings: DataFrame, doclens: DataFrame, query_terms: DataFrame, unit
         F.min_by(term, F.struct("df", "term")).alias("_entry"), F.collect_list(term).alias("_terms"),
         F.count("*").alias("n_terms"), F.count("df").alias("n_known"),
     ).filter("n_terms = n_known")
-    rows = postings.select("term", *unit, "tf")
+    sized = [] if corpus is None else ["n_tokens"]
+    rows = postings.select("term", *unit, "tf", *sized)
     first = entry.select(*query, "n_terms", "_terms", "_entry.*").join(rows, "term")
     others = first.filter("n_terms > 1").select(*query, "n_terms", *unit, F.explode(F.filter("_terms", lambda t: t["term"] != F.col("term"))).alias("_t"))
     looked_up = others.select(*query, "n_terms", *unit, "_t.*").join(rows, ["term", *unit])
-    cols = [*query, "n_terms", *unit, "tf", "df"]
-    return score_matches(first.select(*cols).unionByName(looked_up.select(*cols)), doclens, unit, query)
+    cols = [*query, "n_terms", *unit, "tf", "df", *sized]
+    found = first.select(*cols).unionByName(looked_up.select(*cols))
+    if corpus is None:
+        corpus = doclens.agg(F.count("*").alias("n_units"), F.sum("n_tokens").alias("n_tokens"))
+        found = found.join(doclens.select(*unit, "n_tokens"), unit)
+    return score_matches(found, corpus, unit, query)
 
 
-def score_matches(found: DataFrame, doclens: DataFrame, unit: Sequence[str], query: Sequence[str]) -> DataFrame:
-    """BM25 per (query, unit) from rows ``(*query, n_terms, *unit, tf, df)``; keeps complete matches."""
+def score_matches(found: DataFrame, corpus: DataFrame, unit: Sequence[str], query: Sequence[str]) -> DataFrame:
+    """BM25 per (query, unit) from rows ``(*query, n_terms, *unit, tf, df, n_tokens)``; keeps complete matches."""
     unit, query = list(unit), list(query)
-    corpus = doclens.agg(F.struct(F.count("*").alias("n"), F.sum("n_tokens").alias("total")).alias("stats"))
-    lengths = found.join(doclens.select(*unit, "n_tokens"), unit).withColumn("_stats", corpus.scalar())
+    stats = corpus.agg(F.struct(F.sum("n_units").alias("n"), F.sum("n_tokens").alias("total")).alias("stats"))
+    lengths = found.withColumn("_stats", stats.scalar())
     mean = F.col("_stats.total") / F.col("_stats.n")
     score = bm25_term(F.col("tf"), F.col("n_tokens"), mean, idf(F.col("_stats.n"), F.col("df")))
     return (
@@ -197,11 +203,13 @@ def top_k(ranked: DataFrame, k: int, order: Sequence[Column], *, by: Sequence[st
 
 
 def match_units(postings: DataFrame, unit: Sequence[str], *, all_of: Sequence[str] = (), any_of: Sequence[str] = (),
-                none_of: Sequence[str] = (), phrase: Sequence[str] = (), prefix: Sequence[str] = ()) -> DataFrame:
+                none_of: Sequence[str] = (), phrase: Sequence[str] = (), prefix: Sequence[str] = (), terms: DataFrame | None = None,
+                buckets: int = TERM_BUCKETS) -> DataFrame:
     """Units that satisfy every given predicate.
 
     Only postings of the named terms are read (``term`` filters reach the scan of a stored index);
-    one aggregation by unit decides all predicates together.
+    one aggregation by unit decides all predicates together.  Of postings in buckets only those of the exact
+    terms are read, and those of the terms that a prefix begins, which the vocabulary ``terms`` names.
     """
     unit = list(unit)
     exact = sorted({*all_of, *any_of, *none_of, *phrase})
@@ -231,9 +239,15 @@ def match_units(postings: DataFrame, unit: Sequence[str], *, all_of: Sequence[st
     verdict = checks[0]
     for c in checks[1:]:
         verdict = verdict & c
-    if BUCKET in postings.columns and exact and not prefix:
-        postings = only_terms(postings, postings.sparkSession.createDataFrame([(t,) for t in exact], "term string"))
-    return postings.filter(keep).groupBy(*unit).agg(verdict.alias("_ok")).filter("_ok").drop("_ok")
+    if BUCKET in postings.columns and (terms is not None or not prefix):
+        # the buckets of exact terms are constants, worked out without a job
+        rows = postings.filter(F.col(BUCKET).isin([bucket_of(F.lit(t), buckets) for t in exact]) & term.isin(exact)) if exact else postings.limit(0)
+        for p in prefix:
+            begun = terms.filter(term.startswith(p)).select("term").distinct().withColumn(BUCKET, bucket_of(term, buckets))
+            rows = rows.unionByName(postings.join(begun, [BUCKET, "term"]).select(*postings.columns))
+    else:
+        rows = postings.filter(keep)
+    return rows.groupBy(*unit).agg(verdict.alias("_ok")).filter("_ok").drop("_ok")
 
 
 # --- snippets and windows ---------------------------------------------------------------------

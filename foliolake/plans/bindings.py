@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.text import ACCENTED, UNACCENTED, first_line_title
 from ..operators.paging import paginate
-from ..operators.search import BUCKET, build_index, in_buckets, vocabulary
+from ..operators import impact
 from ..session import work_folder
 from ..sources.store import write_store
 
@@ -38,6 +38,7 @@ def pages(spark: SparkSession, sf: str, keep: list[str] | None = None) -> DataFr
 
 
 _STORES: dict[tuple[str, str], str] = {}
+UNIT = ["doc_id", "page_number"]
 
 
 def case_store(spark: SparkSession, sf: str) -> str:
@@ -49,15 +50,27 @@ def case_store(spark: SparkSession, sf: str) -> str:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORES:
         folder = work_folder(spark, "case")
-        write_store({"pages": pages(spark, sf, keep=["lang", "source"])}, folder, cluster_by={"pages": ["doc_id", "page_number"]})
-        postings, doclens = build_index(spark.read.parquet(f"{folder}/pages"), ["doc_id", "page_number"], "text_content")
-        write_store({"postings": in_buckets(postings), "doclens": doclens}, folder, cluster_by={"postings": ["term", "doc_id", "page_number"]},
-                    partition_by={"postings": BUCKET})
-        write_store({"vocabulary": vocabulary(spark.read.parquet(f"{folder}/postings"))}, folder, cluster_by={"vocabulary": ["term"]})
+        write_store({"pages": pages(spark, sf, keep=["lang", "source"]), "titles": titled(spark, sf).select("doc_id", "title")}, folder,
+                    cluster_by={"pages": UNIT, "titles": ["doc_id"]})
+        impact.write_index(_units(spark, sf, spark.read.parquet(f"{folder}/pages")), UNIT, "text", f"{folder}/index")
         _STORES[key] = folder
     return _STORES[key]
 
 
+def _units(spark: SparkSession, sf: str, of_pages: DataFrame) -> DataFrame:
+    """What the index holds: pages by source, turns of conversations, captions."""
+    t, i = table(spark, sf, "conversations"), table(spark, sf, "benchmark")
+    none = F.lit("").alias("dataset")
+    parts = [of_pages.select(F.lit("page").alias("corpus"), F.col("source").alias("dataset"), *UNIT, F.col("text_content").alias("text")),
+             t.select(F.lit("transcript").alias("corpus"), none, F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_number"), "text"),
+             i.select(F.lit("image").alias("corpus"), none, F.col("item_id").alias("doc_id"), F.lit(1).alias("page_number"), "text")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def index(spark: SparkSession, sf: str) -> impact.Index:
+    return impact.open_index(spark, f"{case_store(spark, sf)}/index", UNIT)
+
+
 def stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{case_store(spark, sf)}/{name}")
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import questions, retrieval, search, unified, vectors
+from ..operators import impact, questions, retrieval, search, unified, vectors
 from ..session import work_folder
 from ..sources.store import write_store
-from .bindings import BLANKS, PAGES, SPACES, TITLE, documents, lit, pages, sql_fold, sql_strip, sql_tokens, stored, table, titled
+from .bindings import BLANKS, PAGES, SPACES, TITLE, documents, index, lit, pages, sql_fold, sql_strip, sql_tokens, stored, table, titled
 from .registry import query
 
 PAGE = ["doc_id", "page_number"]
 
 
+def _pages_only():
+    return F.col("corpus") == unified.PAGE_TYPE
+
+
 # --- SQL pieces -------------------------------------------------------------------------------
 
 
@@ -25,8 +29,8 @@ def _score(tf: str, df: str, dl: str = "dl") -> str:
     return f"(-{_idf(df)} * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * {dl} / (n_tokens / n_units))))"
 
 
-def bm25(units: str, keys: str, terms: list[str], mode: str = "AND", text: str = "text_content", prefix: bool = False) -> str:
-    """CTEs up to ``hits(keys…, rank)`` for literal terms over a relation ``units``."""
+def bm25(units: str, keys: str, terms: list[str], mode: str = "AND", text: str = "text_content", prefix: bool = False, by: str = "") -> str:
+    """CTEs up to ``hits(keys…, rank)`` for literal terms over a relation ``units``; the counts are taken within ``by``."""
     def count(t: str) -> str:
         test = f"starts_with(x, {lit(t[:-1])})" if t.endswith("*") else f"x = {lit(t)}"
         return f"len(list_filter(tk, lambda x: {test}))"
@@ -37,8 +41,8 @@ def bm25(units: str, keys: str, terms: list[str], mode: str = "AND", text: str =
     score = " + ".join(_score(f"tf{i}", f"df{i}") for i in range(len(terms)))
     return f"""tok AS (SELECT *, {sql_tokens(text)} AS tk FROM {units}),
  cnt AS (SELECT *, len(tk) AS dl, {tfs} FROM tok),
- st AS (SELECT count(*) AS n_units, sum(dl) AS n_tokens, {dfs} FROM cnt),
- hits AS (SELECT cnt.* EXCLUDE (tk), {score} AS rank FROM cnt, st WHERE {match})"""
+ st AS (SELECT {by + ',' if by else ''} count(*) AS n_units, sum(dl) AS n_tokens, {dfs} FROM cnt{' GROUP BY ' + by if by else ''}),
+ hits AS (SELECT cnt.* EXCLUDE (tk), {score} AS rank FROM {f'cnt JOIN st USING ({by})' if by else 'cnt, st'} WHERE {match})"""
 
 
 def sql_snippet(text: str, terms: list[str], words: int, mark: tuple[str, str]) -> str:
@@ -105,23 +109,42 @@ def index_refresh(spark, sf):
  SELECT s.doc_id, s.page_number, d.title, round(rank, 6) AS rank, snippet FROM shown s JOIN (SELECT doc_id, {TITLE} AS title FROM documents) d ON d.doc_id = s.doc_id
  ORDER BY round(s.rank, 9), s.doc_id, s.page_number LIMIT 10""")
 def ranked_search(spark, sf):
-    ranked = search.search_text(pages(spark, sf), "text_content", ["the", "this"])
+    ranked = impact.find(index(spark, sf), ["the", "this"], where=_pages_only())
     best = search.top_k(ranked, 10, [F.round("rank", 9), F.asc("doc_id"), F.asc("page_number")])
-    found = best.join(titled(spark, sf).select("doc_id", "title"), "doc_id")
+    return _shown(spark, sf, best)
+
+
+def _shown(spark, sf, best):
+    """Ten pages with their titles and snippets; only they are looked up."""
+    found = stored(spark, sf, "pages").join(F.broadcast(best), PAGE).join(stored(spark, sf, "titles"), "doc_id")
     return found.select(*PAGE, "title", F.round("rank", 6).alias("rank"), search.snippet("text_content", ["the", "this"]).alias("snippet"))
 
 
+@query(f"""WITH {PAGES}, {bm25('doc_pages', '', ['the', 'this'])}, {sql_snippet('text_content', ['the', 'this'], 64, ('**', '**'))}
+ SELECT s.doc_id, s.page_number, d.title, round(rank, 6) AS rank, snippet FROM shown s JOIN (SELECT doc_id, {TITLE} AS title FROM documents) d ON d.doc_id = s.doc_id
+ ORDER BY round(s.rank, 9), s.doc_id, s.page_number LIMIT 10""")
+def ranked_search_blocks(spark, sf):
+    """The same ten, read only from blocks that can hold one of them."""
+    return _shown(spark, sf, impact.best(index(spark, sf), ["the", "this"], 10, where=_pages_only()).select(*PAGE, "rank"))
+
+
+@query(f"""WITH {PAGES}, {bm25('doc_pages', '', ['the', 'of'], by='source')}, r AS (SELECT source AS dataset, doc_id, page_number, round(rank, 6) AS rank,
+  CAST(row_number() OVER (PARTITION BY source ORDER BY round(rank, 9), doc_id, page_number) AS INTEGER) AS position FROM hits) SELECT * FROM r WHERE position <= 3""")
+def best_of_datasets(spark, sf):
+    """The three best pages of every data set, by block bounds."""
+    got = impact.best(index(spark, sf), ["the", "of"], 3, by=["dataset"], where=_pages_only())
+    return got.select("dataset", *PAGE, F.round("rank", 6).alias("rank"), "position")
+
+
 @query(f"WITH {PAGES}, {bm25('doc_pages', '', ['der', 'para', 'ment*'], 'OR')} SELECT doc_id, page_number, round(rank, 6) AS rank FROM hits")
 def ranked_search_any_prefix(spark, sf):
-    return search.search_text(pages(spark, sf), "text_content", ["der", "Pará", "ment*"], mode="any").select(*PAGE, F.round("rank", 6).alias("rank"))
+    return impact.find(index(spark, sf), ["der", "Pará", "ment*"], mode="any", where=_pages_only()).select(*PAGE, F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {PAGES}, {bm25('doc_pages', '', ['the', 'with', 'thing'])} SELECT doc_id, page_number, round(rank, 6) AS rank FROM hits")
 def ranked_search_index(spark, sf):
-    """The same ranking from stored postings instead of text."""
-    postings, doclens = _index(spark, sf)
-    wanted = spark.createDataFrame([(1, "the"), (1, "with"), (1, "thing")], "query_id int, term string")
-    return search.search(postings, doclens, wanted, PAGE).select(*PAGE, F.round("rank", 6).alias("rank"))
+    """All matches of three terms from stored postings; the same as ``search_text`` finds in the text."""
+    return impact.find(index(spark, sf), ["the", "with", "thing"], where=_pages_only()).select(*PAGE, F.round("rank", 6).alias("rank"))
 
 
 @query(f"""WITH {PAGES}, t AS (SELECT doc_id, page_number, {sql_tokens('text_content')} AS tk FROM doc_pages)
@@ -129,8 +152,8 @@ def ranked_search_index(spark, sf):
   AND NOT list_contains(tk, 'or') AND len(list_filter(tk, lambda x: starts_with(x, 'tion'))) > 0
   AND contains(' ' || array_to_string(tk, ' ') || ' ', ' of the ')""")
 def boolean_search(spark, sf):
-    postings, _ = _index(spark, sf)
-    return search.match_units(postings, PAGE, all_of=["the"], any_of=["this", "was"], none_of=["or"], phrase=["of", "the"], prefix=["tion"])
+    ix = index(spark, sf)
+    return search.match_units(ix.postings.filter(_pages_only()), PAGE, terms=ix.vocabulary.filter(_pages_only()), all_of=["the"], any_of=["this", "was"], none_of=["or"], phrase=["of", "the"], prefix=["tion"])
 
 
 @query(f"""WITH {PAGES}, {bm25('doc_pages', '', ['und', 'der'])}, {sql_snippet('text_content', ['und', 'der'], 32, ('<mark>', '</mark>'))}
@@ -191,15 +214,15 @@ _FOUND_SQL = f"""{PAGES}, {_QUESTIONS_SQL},
    QUALIFY ordinal <= 50)"""
 
 
-def _index(spark, sf):
-    return stored(spark, sf, "postings"), stored(spark, sf, "doclens")
+def _find(spark, sf, planned):
+    ix = index(spark, sf)
+    return questions.find_pages(ix.postings.filter(_pages_only()), None, planned, terms=ix.vocabulary.filter(_pages_only()).select("term", "df"), corpus=ix.corpus.filter(_pages_only()))
 
 
 def _hits(spark, sf):
     """The hits of all questions, written once: what builds on them reads at most 50 rows per question again."""
-    postings, doclens = _index(spark, sf)
     folder = work_folder(spark, "hits")
-    write_store({"hits": questions.find_pages(postings, doclens, _planned(spark, sf), terms=stored(spark, sf, "vocabulary"))}, folder)
+    write_store({"hits": _find(spark, sf, _planned(spark, sf))}, folder)
     return spark.read.parquet(f"{folder}/hits")
 
 
@@ -323,12 +346,26 @@ _UNIFIED_SQL = f"""{PAGES}, u_page AS (SELECT doc_id AS document_id, page_number
 @query(f"""WITH {_UNIFIED_SQL}, al AS ({' UNION ALL '.join(f"(SELECT '{k}' AS type, document_id, page_number, rank FROM hits_{k} ORDER BY round(rank, 9), document_id, page_number LIMIT 20 OFFSET 2)" for k in _PART_NAMES)})
  SELECT type, document_id, page_number, round(rank, 6) AS rank FROM al ORDER BY round(al.rank, 9), type, document_id, page_number LIMIT 20""")
 def unified_search(spark, sf):
-    return unified.unified_search(_parts(spark, sf), ["the"], offset=2, limit=20).withColumn("rank", F.round("rank", 6))
+    got = unified.typed_search(index(spark, sf), ["the"], offset=2, limit=20)
+    return got.select("type", "document_id", "page_number", F.round("rank", 6).alias("rank"))
+
+
+@query(f"""WITH {_UNIFIED_SQL}, d AS (SELECT o_orderkey AS document_id, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus AS title FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate <= '1997-12-31'),
+ w AS (SELECT 'page' AS type, h.document_id, page_number, rank, title, date FROM hits_page h JOIN d ON d.document_id = h.document_id
+  UNION ALL SELECT 'transcript', document_id, page_number, rank, NULL, NULL FROM hits_transcript),
+ n AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY round(rank, 9), document_id, page_number) AS n, count(*) OVER () AS total FROM w)
+ SELECT type, document_id, page_number, round(rank, 6) AS rank, title, date, total FROM n WHERE n > 3 AND n <= 28 ORDER BY round(n.rank, 9), type, document_id, page_number LIMIT 25""")
+def unified_search_dated(spark, sf):
+    """Chosen types, dates, offset and the total in one call."""
+    o = table(spark, sf, "orders")
+    dated = o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    got = unified.typed_search(index(spark, sf), ["the"], types=["page", "transcript"], documents=dated, date_from="1995-01-01", date_to="1997-12-31", offset=3, limit=25)
+    return got.withColumn("rank", F.round("rank", 6))
 
 
 @query(f"WITH {_UNIFIED_SQL} {' UNION ALL '.join(f'SELECT {lit(k)} AS type, count(*) AS total FROM hits_{k}' for k in _PART_NAMES)}")
 def match_totals(spark, sf):
-    return unified.match_totals(_parts(spark, sf), ["the"])
+    return unified.typed_totals(index(spark, sf), ["the"])
 
 
 @query(f"""WITH {PAGES}, {bm25('doc_pages', '', ['the', 'of'])} SELECT h.doc_id, h.page_number, o_orderdate AS date, round(rank, 6) AS rank FROM hits h JOIN orders ON o_orderkey = h.doc_id
@@ -339,14 +376,12 @@ def dated_search(spark, sf):
     return got.select(*PAGE, "date", F.round("rank", 6).alias("rank"))
 
 
-@query(f"""WITH {PAGES}, {bm25('doc_pages', '', ['the', 'of'])},
+@query(f"""WITH {PAGES}, {bm25('doc_pages', '', ['the', 'of'], by='source')},
  r AS (SELECT source AS dataset, doc_id, page_number, row_number() OVER (PARTITION BY source ORDER BY round(rank, 9), doc_id, page_number) AS n FROM hits),
  t AS (SELECT r.*, CASE WHEN contains(lower({TITLE}), 'the of') THEN 0 ELSE 1 END AS miss FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE n <= 7)
  SELECT dataset, doc_id, page_number FROM t ORDER BY miss, dataset, n LIMIT 40""")
 def federated_search(spark, sf):
-    d = titled(spark, sf).select("doc_id", "title")
-    p = pages(spark, sf, keep=["source"]).withColumnRenamed("source", "dataset").join(d, "doc_id")
-    return unified.federated_search(p, "the of", n_datasets=20, limit=40).select("dataset", *PAGE)
+    return unified.dataset_search(index(spark, sf), stored(spark, sf, "titles"), "the of", n_datasets=20, limit=40).select("dataset", *PAGE)
 
 
 # --- vectors ----------------------------------------------------------------------------------
@@ -411,9 +446,8 @@ def hybrid_evidence(spark, sf):
     asked = named.select("question_id", "question")
     near = vectors.vector_topk(vectors.encode(asked, "question", encoder), vectors.embed_pages(every, encoder), query_id="question_id", key=PAGE)
     plan = _planned(spark, sf, asked)
-    postings, doclens = _index(spark, sf)
     folder = work_folder(spark, "hybrid")
-    write_store({"hits": questions.find_pages(postings, doclens, plan, terms=stored(spark, sf, "vocabulary")), "near": near}, folder)
+    write_store({"hits": _find(spark, sf, plan), "near": near}, folder)
     text = questions.full_results(spark.read.parquet(f"{folder}/hits"), plan, every, docs)
     overview = retrieval.overview_pages(retrieval.named_documents(asked), docs.withColumn("title", stamp), every)
     full = questions.hybrid_results(text, spark.read.parquet(f"{folder}/near"), every, docs, overview=overview)
