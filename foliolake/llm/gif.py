@@ -170,12 +170,19 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return colours.view(np.uint32).ravel(), at + 3 * n
 
 
+#: Canvases and frames of more pixels are refused: a header of a few bytes can ask for 17 GB.
+MOST_PIXELS = 1 << 26
+
+
 def read_frames(data: bytes) -> Iterator[Frame]:
-    """The frames of a file as they are seen, one after another.  What is no GIF has none; a cut file gives its whole frames."""
+    """The frames of a file as they are seen, one after another.  What is no GIF, or has a canvas of more than ``MOST_PIXELS``,
+    has none; a cut or broken file gives its whole frames in front of the fault (samples must be of 2 to 8 bits)."""
     if len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
         return
     width, height, flags = struct.unpack_from("<HHB", data, 6)
     shared, at = _palette(data, 13, flags)
+    if width * height > MOST_PIXELS:
+        return
     canvas = np.zeros((height, width), np.uint32)
     black = np.frombuffer(b"\0\0\0\xff", np.uint32).repeat(256)
     delay, disposal, clear_index, number, clock = 0, 0, None, 0, 0
@@ -190,7 +197,7 @@ def read_frames(data: bytes) -> Iterator[Frame]:
         elif kind == 0x2C and at + 10 <= len(data):
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
             own, at = _palette(data, at + 10, flags)
-            if at >= len(data):
+            if at >= len(data) or not 2 <= data[at] <= 8 or w * h > MOST_PIXELS:
                 return
             bits = data[at]
             stream, at = _blocks(data, at + 1)

@@ -216,3 +216,23 @@ def test_media_query(spark, docs, awkward):
             want[key, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])] += 1
         assert Counter(tuple(r)[:5] for r in rows) == want
     assert gif.media_digest(gif.store_texts(docs.limit(0))).count() == 0
+
+
+def test_hostile_files_never_fail():
+    import random
+    draw = random.Random(8)
+    whole = gif.store_bytes(gif.padded("some text of a few rows, " * 20)[0])
+    assert len(list(gif.read_frames(whole))) == 1
+    for bits in (0, 1, 9, 10, 70, 255):
+        at = 13 + 768 + 8 + 10
+        assert whole[at] == 8
+        assert list(gif.read_frames(whole[:at] + bytes([bits]) + whole[at + 1:])) == []
+    assert list(gif.read_frames(whole[:6] + b"\xff\xff\xff\xff" + whole[10:])) == []
+    for _ in range(1500):
+        broken = bytearray(whole)
+        for _ in range(draw.randint(1, 6)):
+            broken[draw.choice([draw.randrange(len(broken)), draw.randrange(6, 13), draw.randrange(781, len(broken))])] = draw.randrange(256)
+        broken[7] &= 3  # a canvas that is quick to fill
+        broken[9] &= 3
+        for f in gif.read_frames(bytes(broken[:draw.randint(1, len(broken))])):
+            assert sum(gif.histogram(f)) <= f.pixels.shape[0] * f.pixels.shape[1]
