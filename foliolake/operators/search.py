@@ -9,7 +9,7 @@ Two ways to the same numbers:
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -268,20 +268,41 @@ def snippet(text: str | Column, terms: Sequence[str] | Column, *, words: int = 6
         def is_hit(word: Column) -> Column:
             return fold(word).rlike(pattern)
 
+    def shown_of(parts: Column) -> Column:
+        begin = F.greatest(F.least(_densest(parts, words), F.size(parts) - words), F.lit(0))  # a window that would run over the end slides back
+        shown = F.transform(F.slice(parts, begin + 1, words), lambda p: F.when(
+            p["hit"], F.concat(F.lit(open_mark), p["w"], F.lit(close_mark))).otherwise(p["w"]))
+        return F.concat(F.when(begin > 0, "...").otherwise(""), F.array_join(shown, " "), F.when(begin + words < F.size(parts), "...").otherwise(""))
+
     parts = F.transform(F.filter(F.split(as_column(text), SPACE_RUN), lambda w: w != ""),
                         lambda w: F.struct(w.alias("w"), is_hit(w).alias("hit")))
+    return _let(parts, shown_of)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, whatever lambdas it is read in."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _densest(parts: Column, words: int) -> Column:
+    """Where the first window with the most hits begins; 0 without hits.
+
+    One fold over the hits: the window at hit ``i`` takes hits in while they are near enough, else ``i`` moves on and the
+    window keeps its size, so that ``start`` is the first place where the largest number was reached.
+    """
     places = F.filter(F.transform(parts, lambda p, i: F.when(p["hit"], i)), lambda i: i.isNotNull())
-    best = F.array_max(F.transform(places, lambda p: F.struct(
-        F.size(F.filter(places, lambda q: (q >= p) & (q < p + words))).alias("hits"), (-p).alias("start"))))
-    # a window that would run over the end slides back
-    begin = F.greatest(F.least(F.coalesce(-best["start"], F.lit(0)), F.size(parts) - words), F.lit(0))
-    shown = F.transform(F.slice(parts, begin + 1, words), lambda p: F.when(
-        p["hit"], F.concat(F.lit(open_mark), p["w"], F.lit(close_mark))).otherwise(p["w"]))
-    return F.concat(
-        F.when(begin > 0, "...").otherwise(""),
-        F.array_join(shown, " "),
-        F.when(begin + words < F.size(parts), "...").otherwise(""),
-    )
+
+    def fold(at: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            last = s["i"] + s["n"] + 1
+            grows = (last <= F.size(at)) & (F.get(at, last - 1) < F.get(at, s["i"]) + words)
+            return F.when(F.coalesce(grows, F.lit(False)), F.struct(s["i"].alias("i"), (s["n"] + 1).alias("n"), F.get(at, s["i"]).alias("start"))).otherwise(
+                F.struct((s["i"] + 1).alias("i"), s["n"].alias("n"), s["start"].alias("start")))
+
+        none = F.struct(*[F.lit(0).alias(c) for c in ("i", "n", "start")])
+        return F.aggregate(F.sequence(F.lit(1), F.size(at) + words), none, step)["start"]
+
+    return _let(places, fold)
 
 
 def match_window(text: str | Column, snippet_text: str | Column, *, window: int = 2000) -> Column:

@@ -305,3 +305,29 @@ def test_redacted_index(spark):
     terms = {r.term for r in pii.redact_index(postings, done).collect()}
     assert terms == {"mail", "here", "clean", "page"}
     assert pii.pii_summary(pii.scan_pii(df)).collect()[0].asDict() == {"match_count": 1, "affected_pages": 1}
+
+
+def test_snippet_of_very_many_hits(spark):
+    import time
+
+    text = "word " * 100_000 + "other " * 10
+    df = spark.createDataFrame([(text,)], "t string")
+    begin = time.time()
+    got = df.select(search.snippet("t", ["word"], words=8).alias("s")).collect()[0][0]
+    assert got == " ".join(["**word**"] * 8) + "..." and time.time() - begin < 60
+
+
+def test_snippet_equals_plain_search_for_the_densest_window(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["hit", "a", "b", "c"][: rng.choice([2, 4])]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for words in (1, 5, 16):
+        for i, got in df.select("i", search.snippet("t", ["hit"], words=words)).collect():
+            ws = texts[i].split()
+            starts = [n for n, w in enumerate(ws) if w == "hit"]
+            best = max(starts, key=lambda n: (sum(n <= q < n + words for q in starts), -n), default=0)
+            at = max(min(best, len(ws) - words), 0)
+            shown = " ".join(f"**{w}**" if w == "hit" else w for w in ws[at:at + words])
+            assert got == ("..." if at else "") + shown + ("..." if at + words < len(ws) else "")
