@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -137,23 +139,41 @@ def stream_embeddings(spark, sf):
 # --- sinks ------------------------------------------------------------------------------------
 
 
-@query(f"WITH {PAGES} SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM doc_pages")
+@query(f"""WITH {PAGES} SELECT d.doc_id, d.lang, p.page_number, md5(p.text_content) AS page_md5, md5(d.text) AS text_md5
+ FROM documents d LEFT JOIN doc_pages p ON p.doc_id = d.doc_id""")
 def store_round_trip(spark, sf):
+    """Every row of both tables as the store gives it back."""
     folder = work_folder(spark, "store")
     store.write_store({"documents": documents(spark, sf), "pages": pages(spark, sf)}, folder,
                       cluster_by={"documents": ["doc_id"], "pages": ["doc_id", "page_number"]})
-    counts = [spark.read.parquet(f"{folder}/{t}").agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("documents", "pages")]
-    return counts[0].unionByName(counts[1])
+    d, p = (spark.read.parquet(f"{folder}/{t}") for t in ("documents", "pages"))
+    joined = d.select("doc_id", "lang", F.md5("text").alias("text_md5")).join(p.select("doc_id", "page_number", F.md5("text_content").alias("page_md5")), "doc_id", "left")
+    return joined.select("doc_id", "lang", "page_number", "page_md5", "text_md5")
+
+
+@query(f"""WITH {PAGES} SELECT d.doc_id, d.lang, d.source, p.page_number, length(p.text_content) AS char_count FROM doc_pages p JOIN documents d ON d.doc_id = p.doc_id""")
+def store_buckets(spark, sf):
+    """Pages and their documents from tables in buckets, joined without an exchange."""
+    name = f"case_{uuid.uuid4().hex}"
+    saved = store.save_bucketed({"documents": documents(spark, sf).select("doc_id", "lang", "source"), "pages": pages(spark, sf)},
+                                work_folder(spark, "buckets"), by=["doc_id"], buckets=16, prefix=name)
+    d, p = (spark.table(saved[t]) for t in ("documents", "pages"))
+    return p.join(d.hint("merge"), "doc_id").select("doc_id", "lang", "source", "page_number", "char_count")
 
 
-@query(f"""WITH {LINKS} SELECT a.person_id AS source, b.person_id AS target, count(*)::DOUBLE AS weight FROM links a JOIN links b ON a.doc_id = b.doc_id AND a.person_id < b.person_id GROUP BY ALL""")
+@query(f"""WITH {LINKS} SELECT 'link' AS kind, a.person_id AS source, b.person_id AS target, 'co-occurrence' AS type, count(*)::DOUBLE AS weight, NULL AS label
+  FROM links a JOIN links b ON a.doc_id = b.doc_id AND a.person_id < b.person_id GROUP BY ALL
+ UNION ALL SELECT DISTINCT 'node', person_id, NULL, 'person', NULL, CAST(person_id AS VARCHAR) FROM links""")
 def graph_round_trip(spark, sf):
+    """Links and nodes as the files give them back."""
     from ..operators import graph
 
     folder = work_folder(spark, "graph")
     links = document_persons(spark, sf)
     store.write_graph(graph.person_nodes(links), graph.document_edges(links), folder)
-    return spark.read.schema("source bigint, target bigint, type string, weight double").json(f"{folder}/links")
+    edges = spark.read.schema("source bigint, target bigint, type string, weight double").json(f"{folder}/links").withColumn("kind", F.lit("link"))
+    nodes = spark.read.schema("id bigint, label string, type string").json(f"{folder}/nodes").withColumn("kind", F.lit("node"))
+    return edges.unionByName(nodes.withColumnRenamed("id", "source"), allowMissingColumns=True)
 
 
 @query(f"""WITH h AS (SELECT doc_id, sha256({sql_normalise('text')}) AS hash FROM documents WHERE {sql_strip('text')} <> '' AND split_part(text, chr(10), 1) <> ''),

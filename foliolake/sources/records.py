@@ -41,11 +41,16 @@ def record_pages(records: DataFrame) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """``persons(person_id, slug, name, aliases, category, short_bio, ord)`` from a JSON array of persons."""
-    raw = spark.read.schema(schemas.PERSON_JSON).option("multiLine", True).json(path)
-    # file order decides which entry wins a shared name; one registry file is one partition, so ids ascend in file order
-    return raw.select(F.col("id").alias("person_id"), "slug", "name", "aliases", "category",
-                      F.col("shortBio").alias("short_bio"), F.monotonically_increasing_id().alias("ord"))
+    """``persons(person_id, slug, name, aliases, category, short_bio, ord)`` from a JSON array of persons, or a folder of such files.
+
+    ``ord`` decides which entry wins a shared name: the file, then the place in its array, whatever task reads it.
+    What is no array of persons has none.
+    """
+    listed = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", T.ArrayType(schemas.PERSON_JSON)).alias("_all"))
+    person = F.col("_person")
+    return listed.select("_file", F.posexplode("_all").alias("_at", "_person")).filter(person.isNotNull()).select(
+        person["id"].alias("person_id"), person["slug"].alias("slug"), person["name"].alias("name"), person["aliases"].alias("aliases"),
+        person["category"].alias("category"), person["shortBio"].alias("short_bio"), F.struct("_file", "_at").alias("ord"))
 
 
 def read_store(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -50,3 +50,9 @@ def test_stored_postings_are_pruned(spark):
 def test_evidence_reads_few_tables(spark):
     plan = plan_of(entry.queries()["evidence_tables"](spark, SF))
     assert "term_bucket" not in plan and plan.count("Scan parquet") <= 24
+
+
+def test_tables_in_buckets_join_without_an_exchange(spark):
+    plan = plan_of(entry.queries()["store_buckets"](spark, SF))
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert plan.count("SelectedBucketsCount: 16 out of 16") == 2

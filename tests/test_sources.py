@@ -152,3 +152,12 @@ def test_image_stub_and_sort_orders(spark):
     for key, want in (("date_desc", [3, 1, 2]), ("date_asc", [1, 3, 2]), ("title", [2, 1, 3])):
         assert [r.doc_id for r in d.orderBy(*sort_documents(d, key)).collect()] == want
     assert d.select(F.count("*")).collect()[0][0] == 3
+
+
+def test_registry_keeps_the_order_of_the_file(spark, tmp_path):
+    people = [{"id": str(n), "slug": f"p{n}", "name": f"Person {n % 50}", "aliases": [], "category": "x", "shortBio": "s" * 400} for n in range(3000)]
+    (tmp_path / "a.json").write_text(json.dumps(people))
+    (tmp_path / "b.json").write_text(json.dumps([{**people[0], "id": "late"}]))
+    (tmp_path / "c.json").write_text("no list")
+    got = records.read_registry(spark, str(tmp_path)).repartition(7).orderBy("ord").collect()
+    assert [r.person_id for r in got] == [p["id"] for p in people] + ["late"]
