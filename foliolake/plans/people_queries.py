@@ -181,6 +181,15 @@ def regex_entities(spark, sf):
     return entities.regex_entities(_entity_docs(spark, sf))
 
 
+_OWN_RE = {"CAPITALS": "[A-Z]{2,}", "HYPHENED": "[a-z]+-[a-z]+", "NUMBERS": "[0-9]+(?:[.,][0-9]+)*"}
+
+
+@query(f'SELECT doc_id, kind AS entity_type, match AS text, s AS start, e AS "end" FROM ({sql_spans("documents", "doc_id", "text", _OWN_RE)})')
+def regex_entities_own(spark, sf):
+    """Patterns of the user's own."""
+    return entities.regex_entities(documents(spark, sf).select("doc_id", "text"), patterns=_OWN_RE)
+
+
 @query(f"""WITH {_ENT_DOCS_SQL} SELECT doc_id AS document_id, kind AS entity_type, match AS text, 0.85::DOUBLE AS confidence, NULL AS person_id
  FROM ({sql_spans("ent_docs", "doc_id", "text", {k: _ENT_RE[k] for k in ('ACCOUNT', 'EMAIL_ADDR')})})""")
 def mention_rows(spark, sf):

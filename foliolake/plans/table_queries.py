@@ -8,6 +8,7 @@ from ..functions import fixed_values as V
 from ..functions import noise
 from ..functions.text import year_of
 from ..operators import browse, graph, retrieval, stats, vectors
+from ..operators.ordered import numbered
 from ..sources import records, store
 from .bindings import (
     LINKS, MENTIONS, PAGES, PERSONS, TITLE, document_persons, documents, lit, mentions, names, pages, persons, table, titled,
@@ -324,7 +325,16 @@ def project_entities_exact(spark, sf):
     return stats.project_entities(mentions(spark, sf, keep=["source"]), dataset="source")
 
 
-@query()
+@query(f"""WITH {MENTIONS}, pc AS (SELECT lower(text) AS k, min(text) AS name, count(DISTINCT doc_id) AS n FROM mentions WHERE entity_type = 'PERSON'
+   AND {NOISE_SQL['case_person']} GROUP BY 1),
+ gc AS (SELECT lower(text) AS k, count(DISTINCT doc_id) AS g FROM mentions WHERE entity_type = 'GPE' GROUP BY 1),
+ top AS (SELECT name, n FROM pc LEFT JOIN gc USING (k) WHERE g IS NULL OR n > g ORDER BY n DESC, name LIMIT 12),
+ l AS (SELECT list({{'w': string_split(lower(name), ' '), 'name': name, 'n': n, 'k': []::STRUCT(w VARCHAR[], "name" VARCHAR, n BIGINT)[]}} ORDER BY n DESC, name) AS xs FROM top),
+ ps AS (SELECT name, 'PERSON' AS type, n FROM (SELECT unnest(list_slice(list_reduce(list_prepend({{'w': []::VARCHAR[], 'name': '', 'n': 0::BIGINT, 'k': []::STRUCT(w VARCHAR[], "name" VARCHAR, n BIGINT)[]}}, xs),
+   lambda s, x: CASE WHEN len(list_filter(s.k, lambda k: list_has_all(k.w, x.w) OR list_has_all(x.w, k.w))) > 0 THEN s
+     ELSE {{'w': s.w, 'name': s.name, 'n': s.n, 'k': list_append(s.k, {{'w': x.w, 'name': x.name, 'n': x.n}})}} END).k, 1, 8), recursive := true) FROM l)),
+ g AS (SELECT lower(text) AS k, min({{'a': text, 'b': entity_type}}) AS f, count(DISTINCT doc_id) AS n FROM mentions WHERE entity_type IN ('ORG','GPE') AND {NOISE_SQL['case']} GROUP BY 1)
+ SELECT * FROM ps UNION ALL (SELECT f.a AS name, f.b AS type, n FROM g ORDER BY n DESC, name LIMIT 4)""")
 def case_top_entities(spark, sf):
     return stats.case_top_entities(mentions(spark, sf))
 
@@ -456,6 +466,12 @@ def _undated(spark, sf):
                                              F.when(F.pmod("o_orderkey", F.lit(3)) != 0, F.col("o_orderdate")).alias("date"))
 
 
+@query(f"""SELECT doc_id, title, row_number() OVER (ORDER BY title, doc_id) AS position FROM (SELECT doc_id, {TITLE} AS title FROM documents)""")
+def sort_titles(spark, sf):
+    """The whole document list by title, numbered."""
+    return numbered(titled(spark, sf).select("doc_id", "title"), ["title", "doc_id"], "position")
+
+
 @query(_sorted_sql("DESC"))
 def sort_newest(spark, sf):
     df = _undated(spark, sf)

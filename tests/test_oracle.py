@@ -3,11 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
+from foliolake import plans
 
 from .oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+#: Queries that SQL cannot express; other tests hold them against brute force.  So are those of the training-data part.
+WITHOUT = {"chunk_boundaries", "embed_chunks", "hybrid_evidence", "question_contexts"}
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +24,7 @@ def test_query(spark, con, name):
     if name in ORACLE:
         assert compare(df, con, ORACLE[name]) is None
     else:
+        assert name in WITHOUT or name not in plans.queries()
         assert df.count() > 0
 
 
