@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..operators import retrieval
 from ..session import work_folder
-from ..sources import store
+from ..sources import generations, store
 from ..streaming import ingest, ledger
 from .bindings import BLANKS, LINKS, PAGES, document_persons, documents, lit, pages, sql_normalise, sql_strip, sql_tokens, table
 from .registry import query
@@ -115,6 +115,51 @@ def stream_ingest_index(spark, sf):
     return spark.read.parquet(f"{out}/postings").groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
+_SECOND = "\nThis text was sent a second time."
+
+#: Documents as they stand after all arrivals of ``_rearrived``.
+_LATEST_SQL = f"""late AS (SELECT doc_id, lang, source, CASE WHEN lang = 'en' THEN text ELSE text || {lit(_SECOND)} END AS text FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))"""
+_LATEST_PAGES_SQL = PAGES.replace("FROM documents", "FROM late")
+
+
+def _rearrived(spark, sf, tables):
+    """Three arrivals through the stream: all documents; those not in English once more, longer; those labelled toxic withdrawn.
+
+    The store compacts the first two segments when the second is there, and gives the store.
+    """
+    docs = documents(spark, sf).select("doc_id", "lang", "text")
+    toxic = table(spark, sf, "labels").filter("toxic = 1").select("doc_id").distinct()
+    sends = [docs, docs.filter("lang <> 'en' or lang is null").withColumn("text", F.concat("text", F.lit(_SECOND))),
+             docs.join(toxic, "doc_id", "left_semi")]
+    folder = work_folder(spark, "arrivals")
+    kept = ingest.case_store(f"{folder}/store")
+    for n, sent in enumerate(sends):
+        marked = sent.select("doc_id", "text", F.lit(n).alias("arrived"), F.lit(n == 2).alias("withdrawn"))
+        marked.write.mode("append").parquet(f"{folder}/in")
+        # as many files as there are make one batch
+        came = ingest.arriving(spark, f"{folder}/in", marked.schema, files_per_trigger=1_000_000)
+        ingest.replacing_stream(came, kept, f"{folder}/checkpoint", order="arrived", deleted="withdrawn", tables=tables, fan=2).awaitTermination()
+    return kept
+
+
+@query(f"WITH {_LATEST_SQL}, {_LATEST_PAGES_SQL} SELECT doc_id, page_number, md5(text_content) AS page_md5 FROM doc_pages")
+def stream_rearrival_pages(spark, sf):
+    """Pages after documents came again and went: one set each, as if only the last text had been sent."""
+    made = ingest.replaceable_tables(separator="\n")
+    kept = _rearrived(spark, sf, {"pages": made["pages"]})
+    return generations.live(spark, kept, "pages").select("doc_id", "page_number", F.md5("text_content").alias("page_md5"))
+
+
+@query(f"""WITH {_LATEST_SQL}, {_LATEST_PAGES_SQL}, x AS (SELECT doc_id, page_number, unnest({sql_tokens('text_content')}) AS term FROM doc_pages)
+ SELECT term, count(*) AS tf, count(DISTINCT (doc_id, page_number)) AS df FROM x GROUP BY 1""")
+def stream_rearrival_index(spark, sf):
+    """Counts of every term over the postings that hold after documents came again and went."""
+    made = ingest.replaceable_tables(separator="\n")
+    kept = _rearrived(spark, sf, {name: made[name] for name in ("pages", "postings")})
+    return generations.live(spark, kept, "postings").groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_arrivals(spark, sf):
     folder = work_folder(spark, "arrivals")
