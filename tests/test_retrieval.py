@@ -240,9 +240,54 @@ def test_vector_topk_equals_brute_force(spark):
         sims = sorted(((-sum(a * b for a, b in zip(qv, v)), i) for i, v in vecs))
         want |= {(qid, n + 1): i for n, (s, i) in enumerate(sims[:5]) if -s >= 0.2}
     assert got == want
-    sliced = vectors.vector_topk(q, df, k=5, min_similarity=0.2, query_slice=3).collect()
-    assert {(r.query_id, r.rank_no): r.vec_id for r in sliced} == want
+    for tile in (1, 2, 100):
+        tiled = vectors.vector_topk(q, df, k=5, min_similarity=0.2, query_slice=3, tile_queries=tile)
+        assert {(r.query_id, r.rank_no): r.vec_id for r in tiled.collect()} == want
     assert vectors.vector_topk(q.limit(0), df).count() == 0
+    assert vectors.vector_topk(q, df.limit(0), query_slice=0).count() == 0
+
+
+def test_vector_topk_reads_the_vectors_once(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.cos(F.col("id") * i) / 2).cast("array<float>").alias("embedding")).write.parquet(f"{tmp_path}/v")
+    v = spark.read.parquet(f"{tmp_path}/v")
+    q = v.filter("vec_id < 300").withColumnRenamed("vec_id", "query_id")
+    few, tiled = vectors.vector_topk(q, v, k=7), vectors.vector_topk(q, v, k=7, query_slice=50, tile_queries=64)
+
+    def rows(df):
+        return {(r.query_id, r.rank_no): round(r.similarity, 9) for r in df.collect()}
+
+    assert rows(few) == rows(tiled) and len(rows(few)) == 2100
+    plan = tiled._jdf.queryExecution().optimizedPlan().toString()
+    # one scan of the queries, one of the vectors
+    assert plan.count("parquet") == 2 and "Join" not in plan
+
+
+@pytest.mark.parametrize("slice_", [0, 10])
+def test_vector_topk_with_very_many_ties_and_nulls(spark, monkeypatch, slice_):
+    monkeypatch.setattr(vectors, "_CELLS", 64)
+    same = spark.range(500).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("vec_id"),
+                                   F.when(F.col("id") == 400, F.array(F.lit(2.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("embedding"))
+    v = same.unionByName(spark.createDataFrame([("a", None)], "vec_id string, embedding array<double>"))
+    q = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0]), ("z", None), (None, [0.5, 0.5])], "query_id string, embedding array<double>")
+    got = vectors.vector_topk(q, v, k=3, query_slice=slice_, tile_queries=2).collect()
+    want = {(n, i): (s, v) for n, f in (("x", 1.0), (None, 0.5)) for i, (s, v) in enumerate([(2 * f, "v0400"), (f, "v0000"), (f, "v0001")], 1)}
+    assert {(r.query_id, r.rank_no): (r.similarity, r.vec_id) for r in got} == want
+
+
+def test_best_gives_ties_instead_of_holding_them():
+    import numpy as np
+    import pyarrow as pa
+
+    best = vectors._Best(pa.array([7]), np.array([[1.0]]), 2, 0.25, ["q", "key", "similarity"])
+    best.limit = 10
+    given = []
+    for at in range(0, 100, 5):
+        given += best.show(pa.table({"key": list(range(at, at + 5))}), np.full((5, 1), 0.5))
+        assert best.rows <= 15
+    given += best.show(pa.table({"key": [100]}), np.array([[0.9]]))
+    given += best.give()
+    rows = [r for b in given for r in b.to_pylist()]
+    assert {r["key"] for r in rows} == set(range(101)) and {r["q"] for r in rows} == {7}
 
 
 def test_embedding_jobs(spark):
