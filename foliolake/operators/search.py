@@ -42,6 +42,20 @@ def build_index(units: DataFrame, unit: Sequence[str], text: str) -> tuple[DataF
     return postings, doclens
 
 
+def row_postings(units: DataFrame, unit: Sequence[str], text: str) -> DataFrame:
+    """The postings of ``build_index`` without a shuffle: a unit's tokens are sorted inside its row and cut into runs of one term."""
+    unit = list(unit)
+    numbered = F.transform(tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+    listed = once(units.select(*unit, text), _s=F.sort_array(numbered)).select(*unit, "_s")
+    begins = F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (x["term"] != F.get("_s", F.greatest(i - 1, F.lit(0)))["term"]), i)),
+                      lambda i: i.isNotNull())
+    cut = once(listed, _b=begins)
+    runs = F.transform("_b", lambda b, n: F.slice("_s", b + 1, F.coalesce(F.get("_b", n + 1), F.size("_s")) - b))
+    each = cut.select(*unit, F.explode(runs).alias("_r"))
+    return each.select(F.col("_r")[0]["term"].alias("term"), *unit, F.size("_r").cast("long").alias("tf"),
+                       F.transform("_r", lambda x: x["position"]).alias("positions"))
+
+
 def refresh_index(postings: DataFrame, changed: DataFrame, removed: DataFrame | None, unit: Sequence[str], text: str) -> DataFrame:
     """Postings after some units changed or went: old rows of those units out, fresh rows in."""
     unit = list(unit)

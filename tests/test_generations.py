@@ -116,3 +116,17 @@ def test_documents_that_come_again_leave_one_set(spark, tmp_path):
     assert [r.doc_id for r in search.only_terms(postings, terms).filter("term = 'apple'").collect()] == [1]
     assert {r.doc_id: r.n_tokens for r in g.live(spark, store, "doclens").collect()} == {1: 2, 3: 1}
     assert sorted(r.doc_id for r in g.live(spark, store, "hashes").collect()) == [1, 3]
+
+
+def test_row_postings_equal_the_index(spark):
+    rng = random.Random(9)
+    rows = [(n // 2, n % 2, " ".join(rng.choices(["ash", "Ash", "bee", "Élan", "x-y", "..."], k=rng.randint(0, 12)))) for n in range(60)]
+    units = spark.createDataFrame([*rows, (90, 0, None), (91, 0, ""), (92, 0, "one"), (93, 0, "z " * 300)], "doc_id int, page_number int, text string")
+
+    def found(df):
+        return sorted((r.term, r.doc_id, r.page_number, r.tf, tuple(r.positions)) for r in df.collect())
+
+    fast, unit = search.row_postings(units, ["doc_id", "page_number"], "text"), ["doc_id", "page_number"]
+    want = search.build_index(units, unit, "text")[0]
+    assert found(fast) == found(want) and fast.dtypes == want.dtypes
+    assert "Exchange" not in fast._jdf.queryExecution().executedPlan().toString()
