@@ -18,19 +18,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import write_store
-
 GENERATION = "generation"
 _OWN = ("arrivals", "tombstones")
 
 
 class Store(NamedTuple):
-    """Where the tables lie, their key, and how files are sorted (``cluster_by``) and put into folders (``partition_by``)."""
+    """Where the tables lie, their key, and how files are sorted (``cluster_by``) and put into folders (``partition_by``).
+
+    A table with folders moves once, by folder and one of ``spread`` parts of the keys, so that a hot folder is not one task;
+    unlike ranges that needs no second pass to sample it.  Other tables do not move.
+    """
 
     folder: str
     key: str = "doc_id"
     cluster_by: Mapping[str, Sequence[str]] = {}
     partition_by: Mapping[str, str] = {}
+    spread: int = 8
 
 
 def _known(spark: SparkSession, store: Store) -> list:
@@ -69,8 +72,10 @@ def _read(spark: SparkSession, store: Store, name: str, schema: T.StructType, ch
 def _put(spark: SparkSession, store: Store, name: str, df: DataFrame, span: tuple[int, int]) -> DataFrame:
     """Writes one table of a segment and reads it back, so that what follows from it does not work it out again."""
     at = f"{name}/first_gen={span[0]}/last_gen={span[1]}"
-    order, parts = store.cluster_by.get(name, ()), store.partition_by.get(name)
-    write_store({at: df}, store.folder, cluster_by={at: order}, partition_by={at: parts} if parts else None)
+    parts = [store.partition_by[name]] if name in store.partition_by else []
+    order = [*parts, *store.cluster_by.get(name, ())]
+    out = df.repartition(*parts, F.pmod(F.xxhash64(store.key), F.lit(store.spread))) if parts else df
+    (out.sortWithinPartitions(*order) if order else out).write.mode("overwrite").partitionBy(*parts).parquet(f"{store.folder}/{at}")
     return _read(spark, store, name, df.schema, [span])
 
 
