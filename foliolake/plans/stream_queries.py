@@ -91,7 +91,8 @@ def resume_inputs(spark, sf):
 
 
 def _arriving(spark, sf, name):
-    return ingest.arriving(spark, sf, table(spark, sf, name).schema, pattern=f"{name}.parquet")
+    """The table as a stream, whether it is one file or a folder of files; a stream takes a single file only where a pattern names it."""
+    return ingest.arriving(spark, f"{sf}/[{name[0]}]{name[1:]}.parquet", table(spark, sf, name).schema)
 
 
 def _ingested(spark, sf):
