@@ -15,6 +15,15 @@ def unicode_pattern(pattern: str) -> str:
     return pattern if pattern.startswith("(?U)") else "(?U)" + pattern
 
 
+#: Between an ASCII letter, digit or ``_`` and anything else.
+_ASCII_BOUNDARY = r"(?-iu:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def ascii_pattern(pattern: str) -> str:
+    """``\\b``, ``\\w``, ``\\d`` and ``\\s`` for ASCII alone, as RE2 and with it SQL engines read them."""
+    return pattern.replace(r"\b", _ASCII_BOUNDARY).replace(r"\s", r"[\t\n\f\r\x20]")
+
+
 def span_array(text: Column, pattern: str) -> Column:
     """All matches as ``struct(match, start, end)``; offsets count characters from 0, end is exclusive.
 
@@ -39,12 +48,13 @@ def span_array(text: Column, pattern: str) -> Column:
     return F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed), 1)
 
 
-def find_spans(df: DataFrame, text: str, patterns: Mapping[str, str], *, type_column: str = "type") -> DataFrame:
+def find_spans(df: DataFrame, text: str, patterns: Mapping[str, str], *, type_column: str = "type", ascii_words: bool = False) -> DataFrame:
     """One row per match of any pattern; the text column stays for context checks.
 
-    Each pattern runs over the text once; only texts with a match pay for offsets.
+    Each pattern runs over the text once; only texts with a match pay for offsets.  ``ascii_words`` reads the patterns by
+    ``ascii_pattern``, else they are Unicode-aware.
     """
-    patterns = {kind: unicode_pattern(p) for kind, p in patterns.items()}
+    patterns = {kind: ascii_pattern(p) if ascii_words else unicode_pattern(p) for kind, p in patterns.items()}
     text_col = F.col(text)
 
     def labelled_spans(kind: str, pattern: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.spans import context, find_spans, unicode_pattern
+from ..functions.spans import ascii_pattern, context, find_spans, unicode_pattern
 from .search import refresh_index
 
 PATTERNS = {
@@ -22,12 +22,12 @@ def _digits(match: Column) -> Column:
     return F.regexp_replace(match, r"(?U)\D", "")
 
 
-def _near_url_or_stamp(text: Column, start: Column, end: Column, width: int) -> Column:
+def _near_url_or_stamp(text: Column, start: Column, end: Column, width: int, ascii_words: bool) -> Column:
     around = context(text, start, end, width)
-    return around.rlike(V.URL_MARK) | around.rlike(unicode_pattern(V.ID_STAMP))
+    return around.rlike(V.URL_MARK) | around.rlike((ascii_pattern if ascii_words else unicode_pattern)(V.ID_STAMP))
 
 
-def false_ssn(match: Column, text: Column, start: Column, end: Column) -> Column:
+def false_ssn(match: Column, text: Column, start: Column, end: Column, *, ascii_words: bool = False) -> Column:
     digits = _digits(match)
     return (
         digits.rlike(r"^(.)\1*$")
@@ -35,16 +35,16 @@ def false_ssn(match: Column, text: Column, start: Column, end: Column) -> Column
         | digits.startswith("9")
         | (F.substring(digits, 4, 2) == "00")
         | (F.substring(digits, 6, 4) == "0000")
-        | _near_url_or_stamp(text, start, end, V.SSN_CONTEXT)
+        | _near_url_or_stamp(text, start, end, V.SSN_CONTEXT, ascii_words)
     )
 
 
-def false_phone(match: Column, text: Column, start: Column, end: Column) -> Column:
+def false_phone(match: Column, text: Column, start: Column, end: Column, *, ascii_words: bool = False) -> Column:
     digits = _digits(match)
     return (
         digits.rlike(r"^(.)\1*$")
         | F.contains(F.lit(V.DIGIT_RUN), digits)
-        | _near_url_or_stamp(text, start, end, V.PHONE_CONTEXT)
+        | _near_url_or_stamp(text, start, end, V.PHONE_CONTEXT, ascii_words)
     )
 
 
@@ -58,18 +58,19 @@ def near_birth_word(text: Column, start: Column, end: Column) -> Column:
 
 
 def scan_pii(pages: DataFrame, *, text: str = "text_content", kinds: list[str] | None = None,
-             min_confidence: float = 0.0) -> DataFrame:
+             min_confidence: float = 0.0, ascii_words: bool = False) -> DataFrame:
     """``(…keys, match_text, pattern_type, confidence, start, end)`` for every page column but the text.
 
-    One narrow pass: five patterns, false-positive rules from the text around each match.
+    One narrow pass: five patterns, false-positive rules from the text around each match.  Words end at a letter of any
+    script; with ``ascii_words`` an accented letter ends a word as a blank does, which is how SQL engines with RE2 match.
     """
     patterns = {k: p for k, p in PATTERNS.items() if kinds is None or k in kinds}
     keys = [c for c in pages.columns if c != text]
-    spans = find_spans(pages.filter(F.col(text) != ""), text, patterns, type_column="pattern_type")
+    spans = find_spans(pages.filter(F.col(text) != ""), text, patterns, type_column="pattern_type", ascii_words=ascii_words)
     kind, body, start, end = F.col("pattern_type"), F.col(text), F.col("start"), F.col("end")
     genuine = (
-        F.when(kind == "ssn", ~false_ssn(F.col("match"), body, start, end))
-        .when(kind == "phone", ~false_phone(F.col("match"), body, start, end))
+        F.when(kind == "ssn", ~false_ssn(F.col("match"), body, start, end, ascii_words=ascii_words))
+        .when(kind == "phone", ~false_phone(F.col("match"), body, start, end, ascii_words=ascii_words))
         .when(kind == "dob", near_birth_word(body, start, end))
         .otherwise(True)
     )
