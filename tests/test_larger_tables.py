@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolake import plans
-from foliolake.operators import pii
+from foliolake.operators import pii, ranges
 
 from .oracle import compare
 
@@ -39,3 +39,11 @@ def test_personal_data_ends_words_as_its_sql(spark, tmp_path):
     pages = docs.select("doc_id", F.lit(1).alias("page_number"), F.col("text").alias("text_content"))
     found = pii.scan_pii(pages.filter("doc_id in (10, 14)"), kinds=["address"])
     assert [r.match_text for r in found.collect()] == ["12 Old Mill Road"]
+
+
+def test_overlaps_of_chosen_ranges_are_never_broadcast(spark):
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("AB").alias("prefix"), (F.col("id") * 3).alias("lo"), (F.col("id") * 3 + F.col("id") % 9).alias("hi"))
+    got = ranges.overlaps_of(rows, rows.filter("doc_id % 5 = 0"))
+    want = {(a, b) for a in range(0, 200, 5) for b in range(200) if a != b and b * 3 <= a * 3 + a % 9 and a * 3 <= b * 3 + b % 9}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
