@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolake import plans
-from foliolake.operators import pii, ranges
+from foliolake.operators import pii, questions, ranges, search
 
 from .oracle import compare
 
@@ -47,3 +47,32 @@ def test_overlaps_of_chosen_ranges_are_never_broadcast(spark):
     want = {(a, b) for a in range(0, 200, 5) for b in range(200) if a != b and b * 3 <= a * 3 + a % 9 and a * 3 <= b * 3 + b % 9}
     assert {tuple(r) for r in got.collect()} == want
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_of_the_same_terms_are_searched_for_once(spark, monkeypatch):
+    words = ["wire", "bank", "memo", "road"]
+    pages = spark.createDataFrame([(d, 1, " ".join(words[i] for i in range(4) if d >> i & 1) + " x" * (d % 5)) for d in range(1, 48)],
+                                  "doc_id long, page_number int, text_content string")
+    postings, doclens = search.build_index(pages, ["doc_id", "page_number"], "text_content")
+    ways = [["wire"], ["wire", "bank"], ["bank", "wire"], ["wire", "bank", "memo"], ["none", "wire"]]
+    asked = spark.createDataFrame([(f"q{n}", no, t) for n in range(30) for no, w in enumerate(ways) for t in w], "question_id string, query_no int, term string")
+    sent = []
+
+    def spied(p, d, wanted, unit, *, query, **more):
+        sent.append(wanted.select(*query).distinct().count())
+        return search.search(p, d, wanted, unit, query=query, **more)
+
+    monkeypatch.setattr(questions, "search", spied)
+    got = {tuple(r) for r in questions.find_pages(postings, doclens, asked).select("question_id", "query_no", "doc_id", "page_number", F.round("rank", 9)).collect()}
+    assert sent == [4]
+    ranked = search.search(postings, doclens, asked, ["doc_id", "page_number"], query=["question_id", "query_no"])
+    best = search.top_k(ranked, 10, [F.round("rank", 9), F.col("doc_id"), F.col("page_number")], by=["question_id", "query_no"])
+    each = {}
+    for r in sorted(best.collect(), key=lambda r: (r.question_id, r.query_no, r.position)):
+        each.setdefault((r.question_id, r.doc_id), (r.question_id, r.query_no, r.doc_id, r.page_number, round(r["rank"], 9)))
+    assert got == set(each.values())
+    # BM25 over the text itself, term by term
+    for w in ([["wire"], ["wire", "bank"], ["wire", "bank", "memo"]]):
+        plain = {(r.doc_id, round(r["rank"], 7)) for r in search.search_text(pages, "text_content", w).collect()}
+        one = spark.createDataFrame([("q", t) for t in w], "query_id string, term string")
+        assert {(r.doc_id, round(r["rank"], 7)) for r in search.search(postings, doclens, one, ["doc_id", "page_number"]).collect()} == plain
