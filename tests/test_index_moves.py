@@ -23,3 +23,19 @@ def test_postings_stay_with_their_units(spark, tmp_path, monkeypatch):
     assert best == sorted(d for d, _ in got)[:3]
     assert sorted(map(tuple, ix.postings.select("term", "doc_id", "tf", "positions", "n_tokens").collect())) == sorted(
         (*r, 5) for r in map(tuple, search.build_index(units, unit, "text")[0].select("term", "doc_id", "tf", "positions").collect()))
+
+
+def test_postings_of_text_are_cut_in_their_row(spark, tmp_path):
+    """``index_postings`` moved every posting once; a unit's tokens are all in one row."""
+    from foliolake import plans
+
+    spark.createDataFrame([(1, "a b a", "en", "x")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    scan = spark.conf.get("spark.foliolake.scanPartitions", None)
+    spark.conf.unset("spark.foliolake.scanPartitions")
+    try:
+        got = plans.queries()["index_postings"](spark, str(tmp_path))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.select("term", "tf", "positions").collect())) == [("a", 2, "0 2"), ("b", 1, "1")]
+    finally:
+        if scan:
+            spark.conf.set("spark.foliolake.scanPartitions", scan)
