@@ -11,21 +11,28 @@ from ..functions import fixed_values as V
 from ..functions import noise
 
 SLICE = 2000
+#: Links of one task where they are paired: few bytes, but many pairs.
+TASK_LINKS = 250_000
 
 
-def weighted_pairs(links: DataFrame, group: str, item: str, n: str, *, slice_rows: int = SLICE) -> DataFrame:
+def weighted_pairs(links: DataFrame, group: str, item: str, n: str, *, slice_rows: int = SLICE, tasks: int | None = None) -> DataFrame:
     """``(source, target, weight)`` with weight = sum over groups of n(source) * n(target), source < target.
 
     ``links`` has one row per (group, item).  A group of more than ``slice_rows`` items is cut into
     slices: each slice of its items meets the group's items in a task of its own, so a hot group is
-    spread, and the sum is combined before its shuffle.  Nothing is left out.
+    spread, and the sum is combined before its shuffle.  Nothing is left out.  ``tasks`` is the number of tasks that pair;
+    without it Spark goes by the bytes of the links, which are few beside the memory their pairs take.
     """
+    if tasks:
+        links = links.repartition(tasks, group)
     sizes = links.groupBy(group).agg(F.count("*").alias("_size")).filter(F.col("_size") > 1)
     sized = links.join(sizes, group).withColumn("_slices", F.ceil(F.col("_size") / slice_rows).cast("int"))
     left = sized.select(group, F.col(item).alias("source"), F.col(n).alias("_n1"),
                         F.pmod(F.xxhash64(item), F.col("_slices")).cast("int").alias("_slice"))
     right = sized.select(group, F.col(item).alias("target"), F.col(n).alias("_n2"),
                          F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
+    if tasks:
+        left, right = (side.repartition(tasks, group, "_slice") for side in (left, right))
     return (
         left.join(right, [group, "_slice"])
         .filter(F.col("source") < F.col("target"))
@@ -37,7 +44,8 @@ def weighted_pairs(links: DataFrame, group: str, item: str, n: str, *, slice_row
 def cooccurrence(links: DataFrame, group: str, item: str, *, weight: float = 1.0, kind: str = "co-occurrence") -> DataFrame:
     """Edges between items that share a group, ``weight`` per shared group."""
     once = links.select(group, item).filter(F.col(item).isNotNull()).distinct().withColumn("_one", F.lit(1))
-    pairs = weighted_pairs(once, group, item, "_one")
+    least = int(once.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = weighted_pairs(once, group, item, "_one", tasks=max(least, 1 + once.count() // TASK_LINKS))
     return pairs.select("source", "target", F.lit(kind).alias("type"), (F.col("weight") * F.lit(float(weight))).alias("weight"))
 
 
