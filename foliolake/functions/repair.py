@@ -22,6 +22,9 @@ def fix_mojibake(text: str | Column) -> Column:
     character.  Null stays null.
     """
     text = as_column(text)
-    single = text.rlike(f"^[\\x00-\\x7f\\xa0-\\xff{V.WESTERN_LETTERS}]*$") & text.rlike("[^\\x00-\\x7f]")
-    raw = F.encode(F.translate(F.when(single, text).otherwise(""), V.WESTERN_LETTERS, V.WESTERN_CONTROLS), "ISO-8859-1").cast("string")
-    return F.when(single & F.is_valid_utf8(raw) & ~F.contains(raw, F.lit("\ufffd")), raw).otherwise(text)
+    several = F.octet_length(text) != F.length(text)  # bytes for some character: not all of them are plain ASCII
+    single = several & text.rlike(f"^[\\x00-\\x7f\\xa0-\\xff{V.WESTERN_LETTERS}]*$")
+    read = F.when(single, F.encode(F.translate(text, V.WESTERN_LETTERS, V.WESTERN_CONTROLS), "ISO-8859-1").cast("string"))
+    # a lambda's argument is worked out once, however often it is read
+    valid = F.transform(F.array(read), lambda raw: F.when(F.is_valid_utf8(raw) & ~F.contains(raw, F.lit("\ufffd")), raw))
+    return F.coalesce(F.element_at(valid, 1), text)
