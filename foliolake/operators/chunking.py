@@ -21,11 +21,13 @@ def _break_after(text: Column, start: Column, target: Column, size: int, minimum
     begin = F.greatest(start, target - size // 5)
     window = F.substring(text, begin + 1, target - begin)
 
-    def last_end(pattern: str) -> Column:
-        ends = F.transform(span_array(window, unicode_pattern(pattern)), lambda s: begin + s["end"])
+    def last_end(part: Column, pattern: str) -> Column:
+        ends = F.transform(span_array(part, unicode_pattern(pattern)), lambda s: begin + s["end"])
         return F.try_element_at(F.filter(ends, lambda e: e > start + minimum), F.lit(-1))
 
-    return F.coalesce(last_end(V.SECTION_BREAK), last_end(V.SENTENCE_END), target)
+    # bound by a one-element array: the window is cut out of the text once, not for each pattern
+    return F.element_at(F.transform(F.array(window), lambda w: F.coalesce(
+        last_end(w, V.SECTION_BREAK), last_end(w, V.SENTENCE_END), target)), 1)
 
 
 def chunk_array(text: Column, *, size: int = V.CHUNK_CHARS, overlap: int = V.CHUNK_OVERLAP,
@@ -35,13 +37,11 @@ def chunk_array(text: Column, *, size: int = V.CHUNK_CHARS, overlap: int = V.CHU
     The walk is sequential by nature (each start depends on the end before it), so it is a fold over
     as many steps as the text can need; it ends at a short chunk, at no progress or near the end.
     """
-    n = F.length(text)
     least_step = size - size // 5 - overlap if boundaries else size - overlap
     if least_step <= 0:
         raise ValueError("overlap leaves no room to advance")
-    steps = F.sequence(F.lit(0), (n / F.lit(least_step)).cast("int") + 2)
 
-    def step(state: Column, _: Column) -> Column:
+    def step(state: Column, n: Column) -> Column:
         start, out = state["start"], state["out"]
         reach = F.least(start + size, n)
         end = F.when(reach < n, _break_after(text, start, reach, size, minimum)).otherwise(reach) if boundaries else reach
@@ -61,7 +61,14 @@ def chunk_array(text: Column, *, size: int = V.CHUNK_CHARS, overlap: int = V.CHU
         return F.when(start < 0, state).otherwise(F.element_at(F.transform(ended, place), 1))
 
     begin = F.struct(F.lit(0).alias("start"), F.array().cast(_CHUNKS).alias("out"))
-    walked = F.aggregate(steps, begin, step, lambda s: s["out"])
+
+    def walk(n: Column) -> Column:
+        # every step gets the length of the text, which is counted once
+        steps = F.array_repeat(n, (n / F.lit(least_step)).cast("int") + 3)
+        return F.aggregate(steps, begin, step, lambda s: s["out"])
+
+    n = F.length(text)
+    walked = F.element_at(F.transform(F.array(n), walk), 1)
     whole = F.array(F.struct(F.lit(0).alias("start"), strip(text).alias("body"))).cast(_CHUNKS)
     none = F.array().cast(_CHUNKS)
     return F.when(text.isNull() | (F.length(strip(text)) < minimum), none).when(n <= size, whole).otherwise(walked)
