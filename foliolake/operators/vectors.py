@@ -34,9 +34,8 @@ def hashing_encoder(dims: int = 64) -> Callable[[], Callable[[list[str]], np.nda
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dims), dtype=np.float32)
             for i, text in enumerate(texts):
-                for w in word.findall((text or "").lower()):
-                    h = zlib.crc32(w.encode())
-                    out[i, h % dims] += 1.0 if (h >> 16) & 1 else -1.0
+                h = np.array([zlib.crc32(w.encode()) for w in word.findall((text or "").lower())], dtype=np.int64)
+                out[i] = np.bincount(h % dims, weights=(h >> 16 & 1) * 2 - 1, minlength=dims)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.where(norms == 0, 1, norms)
 
