@@ -25,15 +25,15 @@ _OWN = ("arrivals", "tombstones")
 class Store(NamedTuple):
     """Where the tables lie, their key, and how files are sorted (``cluster_by``) and put into folders (``partition_by``).
 
-    A table with folders moves once, by folder and one of ``spread`` parts of the keys, so that a hot folder is not one task;
-    unlike ranges that needs no second pass to sample it.  Other tables do not move.
+    No table moves: a task writes its own rows, with folders one file for each, so there are as many files as tasks and folders.
+    Rows of ``in_order`` come from their maker as ``cluster_by`` would sort them, and are only put into folders.
     """
 
     folder: str
     key: str = "doc_id"
     cluster_by: Mapping[str, Sequence[str]] = {}
     partition_by: Mapping[str, str] = {}
-    spread: int = 8
+    in_order: Sequence[str] = ()
 
 
 def _known(spark: SparkSession, store: Store) -> list:
@@ -69,13 +69,12 @@ def _read(spark: SparkSession, store: Store, name: str, schema: T.StructType, ch
     return spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*schema.names)
 
 
-def _put(spark: SparkSession, store: Store, name: str, df: DataFrame, span: tuple[int, int]) -> DataFrame:
+def _put(spark: SparkSession, store: Store, name: str, df: DataFrame, span: tuple[int, int], *, fresh: bool = False) -> DataFrame:
     """Writes one table of a segment and reads it back, so that what follows from it does not work it out again."""
     at = f"{name}/first_gen={span[0]}/last_gen={span[1]}"
     parts = [store.partition_by[name]] if name in store.partition_by else []
-    order = [*parts, *store.cluster_by.get(name, ())]
-    out = df.repartition(*parts, F.pmod(F.xxhash64(store.key), F.lit(store.spread))) if parts else df
-    (out.sortWithinPartitions(*order) if order else out).write.mode("overwrite").partitionBy(*parts).parquet(f"{store.folder}/{at}")
+    order = [*parts, *(() if fresh and name in store.in_order else store.cluster_by.get(name, ()))]
+    (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").partitionBy(*parts).parquet(f"{store.folder}/{at}")
     return _read(spark, store, name, df.schema, [span])
 
 
@@ -123,7 +122,7 @@ def write(spark: SparkSession, store: Store, generation: int, sent: DataFrame, t
     done["sent"] = done["sent"].filter(~F.col("_gone")).drop("_gone", GENERATION)
     for name, make in tables.items():
         df = make(done).withColumn(GENERATION, F.lit(generation).cast("long"))
-        written[name] = _put(spark, store, name, df, span)
+        written[name] = _put(spark, store, name, df, span, fresh=True)
         done[name] = written[name].drop(GENERATION)
     _complete(spark, store, {n: df.schema for n, df in written.items()}, span)
 

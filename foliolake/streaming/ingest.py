@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.entities import mention_rows, regex_entities
 from ..operators.paging import paginate
 from ..operators.pii import scan_pii
-from ..operators.search import BUCKET, build_index, in_buckets, row_postings
+from ..operators.impact import sorted_postings
+from ..operators.search import BUCKET, build_index, in_buckets
 from ..operators.vectors import embed_pages
 from ..functions.text import content_hash
 from ..sources import generations
@@ -73,10 +74,10 @@ def ingest_stream(docs: DataFrame, out: str, checkpoint: str, *, separator: str
 def case_store(folder: str) -> generations.Store:
     """Segments of the ingest's tables; postings lie in folders by a hash of the term, as in a stored index.
 
-    Only postings move to be sorted; what holds text stays where the arrivals of a document met.
+    Nothing moves once the arrivals of a document have met: postings are cut and sorted by the task that reads their pages.
     """
     unit = ["doc_id", "page_number"]
-    return generations.Store(folder, "doc_id", {"pages": unit, "postings": ["term", *unit]}, {"postings": BUCKET})
+    return generations.Store(folder, "doc_id", {"pages": unit, "postings": ["term", *unit]}, {"postings": BUCKET}, ["postings"])
 
 
 def replaceable_tables(*, separator: str = "\n\n") -> dict[str, Callable[[dict], DataFrame]]:
@@ -86,7 +87,7 @@ def replaceable_tables(*, separator: str = "\n\n") -> dict[str, Callable[[dict],
         "pages": lambda t: paginate(t["sent"].select("doc_id", "text"), separator=separator),
         "entities": lambda t: mention_rows(regex_entities(t["sent"].select("doc_id", "text"))).withColumnRenamed("document_id", "doc_id"),
         "pii": lambda t: scan_pii(t["pages"].select(*unit, "text_content")),
-        "postings": lambda t: in_buckets(row_postings(t["pages"], unit, "text_content")),
+        "postings": lambda t: in_buckets(sorted_postings(t["pages"], unit, "text_content").select("term", *unit, "tf", "positions")),
         "doclens": lambda t: build_index(t["pages"], unit, "text_content")[1],
         "hashes": lambda t: t["sent"].select("doc_id", content_hash("text").alias("content_hash")),
     }

@@ -130,3 +130,28 @@ def test_row_postings_equal_the_index(spark):
     want = search.build_index(units, unit, "text")[0]
     assert found(fast) == found(want) and fast.dtypes == want.dtypes
     assert "Exchange" not in fast._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_of_a_stream_do_not_move(spark, tmp_path, monkeypatch):
+    from foliolake.streaming import ingest
+
+    store = ingest.case_store(str(tmp_path))
+    plans = []
+    plain = g._put
+    monkeypatch.setattr(g, "_put", lambda s, st, name, df, span, **more: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())),
+                                                                          plain(s, st, name, df, span, **more))[1])
+    made = ingest.replaceable_tables(separator="\n")
+    docs = spark.createDataFrame([(i, f"w{i % 3} and the w{i} the") for i in range(12)], "doc_id long, text string").repartition(3)
+    homes = {}
+    g.write(spark, store, 0, docs, {name: made[name] for name in ("pages", "postings")})
+    assert [name for name, plan in plans if "Exchange" in plan and name == "postings"] == []
+    files = spark.read.parquet(f"{tmp_path}/postings").selectExpr("input_file_name() as f", "term", "doc_id").collect()
+    # a file is what one task wrote: documents of different tasks never share one
+    for r in spark.read.parquet(f"{tmp_path}/pages").selectExpr("input_file_name() as f", "doc_id").collect():
+        homes[r["doc_id"]] = r["f"]
+    met = {}
+    for r in files:
+        met.setdefault(r["f"], set()).add(homes[r["doc_id"]])
+    got = {(r["term"], r["doc_id"], r["tf"]) for r in g.live(spark, store, "postings").collect()}
+    assert got == {(t, i, f"w{i % 3} and the w{i} the".split().count(t)) for i in range(12) for t in f"w{i % 3} and the w{i} the".split()}
+    assert len({f.rsplit("part-", 1)[1].split("-")[0] for f in met}) > 1
