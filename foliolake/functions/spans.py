@@ -24,10 +24,10 @@ def ascii_pattern(pattern: str) -> str:
     return pattern.replace(r"\b", _ASCII_BOUNDARY).replace(r"\s", r"[\t\n\f\r\x20]")
 
 
-def span_array(text: Column, pattern: str) -> Column:
+def span_array(text: Column, pattern: str, need: str | None = None) -> Column:
     """All matches as ``struct(match, start, end)``; offsets count characters from 0, end is exclusive.
 
-    ``split`` with limit -1 cuts the text at the very same matches, so the offset of a match
+    ``need`` is a cheaper pattern without which ``pattern`` has no match: texts that lack it are not searched further.  ``split`` with limit -1 cuts the text at the very same matches, so the offset of a match
     is the length of all pieces and matches in front of it.
     """
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
@@ -45,24 +45,34 @@ def span_array(text: Column, pattern: str) -> Column:
             F.aggregate(pairs, begin, step, lambda state: state["out"]))
 
     # bound by a one-element array: the matches are found once, and a text without any is not split
-    return F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed), 1)
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if need:
+        matches = F.when(text.rlike(need), matches).otherwise(F.array().cast("array<string>"))
+    return F.element_at(F.transform(F.array(matches), placed), 1)
 
 
-def find_spans(df: DataFrame, text: str, patterns: Mapping[str, str], *, type_column: str = "type", ascii_words: bool = False) -> DataFrame:
-    """One row per match of any pattern; the text column stays for context checks.
-
-    Each pattern runs over the text once; only texts with a match pay for offsets.  ``ascii_words`` reads the patterns by
-    ``ascii_pattern``, else they are Unicode-aware.
-    """
-    patterns = {kind: ascii_pattern(p) if ascii_words else unicode_pattern(p) for kind, p in patterns.items()}
-    text_col = F.col(text)
+def all_spans(text: Column, patterns: Mapping[str, str], *, type_column: str = "type", ascii_words: bool = False,
+              needs: Mapping[str, str] | None = None) -> Column:
+    """The matches of all patterns in one array, labelled by their kind."""
+    read = ascii_pattern if ascii_words else unicode_pattern
 
-    def labelled_spans(kind: str, pattern: str) -> Column:
-        return F.transform(span_array(text_col, pattern), lambda s: F.struct(
+    def labelled(kind: str, pattern: str) -> Column:
+        need = (needs or {}).get(kind)
+        return F.transform(span_array(text, read(pattern), need and read(need)), lambda s: F.struct(
             F.lit(kind).alias(type_column), s["match"].alias("match"), s["start"].alias("start"), s["end"].alias("end")))
 
-    labelled = [labelled_spans(kind, p) for kind, p in patterns.items()]
-    return df.filter(text_col.isNotNull()).withColumn("_span", F.explode(F.concat(*labelled))).select("*", "_span.*").drop("_span")
+    return F.concat(*[labelled(kind, p) for kind, p in patterns.items()])
+
+
+def find_spans(df: DataFrame, text: str, patterns: Mapping[str, str], *, type_column: str = "type", ascii_words: bool = False,
+               needs: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per match of any pattern; the text column stays for context checks.
+
+    Each pattern runs over the text once, and only over texts that have what it ``needs``; only texts with a match pay for
+    offsets.  ``ascii_words`` reads the patterns by ``ascii_pattern``, else they are Unicode-aware.
+    """
+    spans = all_spans(F.col(text), patterns, type_column=type_column, ascii_words=ascii_words, needs=needs)
+    return df.filter(F.col(text).isNotNull()).withColumn("_span", F.explode(spans)).select("*", "_span.*").drop("_span")
 
 
 def context(text: Column, start: Column, end: Column, width: int) -> Column:

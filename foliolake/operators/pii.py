@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.spans import ascii_pattern, context, find_spans, unicode_pattern
+from ..functions.once import once
+from ..functions.spans import all_spans, ascii_pattern, context, find_spans, unicode_pattern
 from .search import refresh_index
 
 PATTERNS = {
@@ -17,6 +18,15 @@ PATTERNS = {
     "address": "(?iu)" + V.PII_ADDRESS,
 }
 
+#: What a text must hold for a match of the kind, found faster than the match itself.
+NEEDS = {
+    "phone": r"\d{3}[-.\s]?\d{4}",
+    "email": r"@[a-zA-Z0-9.-]",
+    "ssn": r"\d{2}[-\s]?\d{4}",
+    "dob": r"\d[/-]\d{1,2}[/-]\d{2}| \d{1,2},? \d{4}",
+    "address": r"\d\s+\p{L}{2,}\s",
+}
+
 
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, r"(?U)\D", "")
@@ -66,21 +76,24 @@ def scan_pii(pages: DataFrame, *, text: str = "text_content", kinds: list[str] |
     """
     patterns = {k: p for k, p in PATTERNS.items() if kinds is None or k in kinds}
     keys = [c for c in pages.columns if c != text]
-    spans = find_spans(pages.filter(F.col(text) != ""), text, patterns, type_column="pattern_type", ascii_words=ascii_words)
-    kind, body, start, end = F.col("pattern_type"), F.col(text), F.col("start"), F.col("end")
-    genuine = (
-        F.when(kind == "ssn", ~false_ssn(F.col("match"), body, start, end, ascii_words=ascii_words))
-        .when(kind == "phone", ~false_phone(F.col("match"), body, start, end, ascii_words=ascii_words))
-        .when(kind == "dob", near_birth_word(body, start, end))
-        .otherwise(True)
-    )
+    spans = find_spans(pages.filter(F.col(text) != ""), text, patterns, type_column="pattern_type", ascii_words=ascii_words, needs=NEEDS)
+    kind = F.col("pattern_type")
     confidence = F.element_at(F.create_map(*[F.lit(x) for kv in V.PII_CONFIDENCE.items() for x in kv]), kind)
-    found = spans.filter(genuine).select(
+    found = spans.filter(_genuine(kind, F.col("match"), F.col(text), F.col("start"), F.col("end"), ascii_words)).select(
         *keys, F.col("match").alias("match_text"), "pattern_type", confidence.alias("confidence"), "start", "end"
     )
     return found.filter(F.col("confidence") >= min_confidence) if min_confidence else found
 
 
+def _genuine(kind: Column, match: Column, text: Column, start: Column, end: Column, ascii_words: bool) -> Column:
+    return (
+        F.when(kind == "ssn", ~false_ssn(match, text, start, end, ascii_words=ascii_words))
+        .when(kind == "phone", ~false_phone(match, text, start, end, ascii_words=ascii_words))
+        .when(kind == "dob", near_birth_word(text, start, end))
+        .otherwise(True)
+    )
+
+
 def pii_summary(matches: DataFrame, *, page: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
     return matches.agg(F.count("*").alias("match_count"), F.countDistinct(*page).alias("affected_pages"))
 
@@ -116,17 +129,33 @@ def redact(pages: DataFrame, matches: DataFrame, *, page: tuple[str, ...] = ("do
     per_page = matches.groupBy(*page).agg(F.sort_array(F.collect_list(span)).alias("_spans"), F.count("*").alias("_items"))
     spans = F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>"))
     todo = spans if exact_overlap else merged_spans(spans)
-
-    def cut(body: Column, s: Column) -> Column:
-        return F.concat(F.substring(body, F.lit(1), s["start"]), F.substring(body, s["end"] + 1, F.length(body)))
-
     out = pages.join(per_page, list(page), "left").withColumn(
-        text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.aggregate(F.reverse(todo), F.col(text), cut))
+        text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(_without(F.col(text), todo))
     )
     out = out.withColumn("char_count", F.length(text)).withColumn("redacted", F.coalesce("_items", F.lit(0)))
     return out.drop("_spans", "_items")
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """The text with the spans, sorted by start, cut out from the last to the first."""
+    def cut(body: Column, s: Column) -> Column:
+        return F.concat(F.substring(body, F.lit(1), s["start"]), F.substring(body, s["end"] + 1, F.length(body)))
+
+    return F.aggregate(F.reverse(spans), text, cut)
+
+
+def redact_found(pages: DataFrame, *, text: str = "text_content", kinds: list[str] | None = None, ascii_words: bool = False) -> DataFrame:
+    """``redact`` by what ``scan_pii`` finds in the same pages: found and cut in the row, nothing is joined."""
+    patterns, body = {k: p for k, p in PATTERNS.items() if kinds is None or k in kinds}, F.col(text)
+    found = F.filter(all_spans(body, patterns, type_column="pattern_type", ascii_words=ascii_words, needs=NEEDS),
+                     lambda s: _genuine(s["pattern_type"], s["match"], body, s["start"], s["end"], ascii_words))
+    marked = once(pages, _spans=F.coalesce(found, F.array().cast("array<struct<pattern_type:string,match:string,start:int,end:int>>")))
+    spans = F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    out = marked.withColumn("redacted", F.size("_spans").cast("long"))
+    out = once(out.withColumn("_text", F.when(F.size("_spans") == 0, body).otherwise(_without(body, merged_spans(spans)))).drop(text, "_spans"), **{text: F.col("_text")})
+    return out.drop("_text").withColumn("char_count", F.length(text))
+
+
 def redact_index(postings: DataFrame, redacted_pages: DataFrame, unit: tuple[str, ...] = ("doc_id", "page_number"),
                  text: str = "text_content") -> DataFrame:
     """Postings brought in line with redacted pages; untouched pages are not tokenised again."""
